@@ -12,7 +12,10 @@ from .cooccurrence import cooccurrence
 from .crosssplit import cross_pairs
 from .distinctive import term_scores
 from .ideal_point import closeness, ranking
+from .packing import pack
+from .splitting import split_texts
 from .sql import SQL
+from .tokens import encode
 from .topn import top_n
 
 __all__ = ["QUERIES", "SQL"]
@@ -115,6 +118,28 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy(F.col("side").alias("split"), "source").agg(F.count("*").alias("n_rows"), F.count_if("same_bug").alias("n_same_bug"))
 
 
+# 8. encoding of the whole corpus
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+# 9. filling containers
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    tokens = materialize(encode(table(spark, d, "documents"), "doc_id", "text"), "tokens")
+    return pack(tokens).withColumnRenamed("key", "doc_id")
+
+
+# 10. splitting long texts
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_texts(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -126,4 +151,7 @@ QUERIES = {
     "p6_top": p6_top,
     "p7_found": p7_found,
     "p7_counts": p7_counts,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p10_pieces": p10_pieces,
 }
