@@ -16,14 +16,14 @@ def _bands(largest: int = 1_000_000_000) -> list[tuple[int, int]]:
     """Ranges of set sizes such that two sets with 0.8 of their terms in common lie in the same or in adjacent ranges."""
     out, low = [], MIN_TERMS
     while low <= largest:
-        high = low * 5 // 4
+        high = low * 7 // 5
         out.append((low, high))
         low = high + 1
     return out
 
 
 def _signatures(sets: DataFrame) -> DataFrame:
-    """(id, n, bits, key, cut, own) of hash sets (id, n, bits, h).
+    """(id, bits, key, meta) of hash sets (id, n, bits, h), meta being ``n * 4 + own * 2 + cut``.
 
     In the size range of the larger set, two like sets differ in at most ``2 * high / 9`` terms. Terms fall into
     ``k`` parts by their hash, k so large that one part at least differs in at most one term: there the
@@ -35,13 +35,19 @@ def _signatures(sets: DataFrame) -> DataFrame:
     parts = F.array(*[F.lit(2 * high // 9 // 2 + 1) for _, high in ranges])
     own = F.size(F.filter(lows, lambda low: low <= F.col("n"))) - 1
     banded = sets.withColumn("_own", own).select("*", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("_band"))
-    banded = banded.where(F.col("_band") < len(ranges)).withColumn("_k", F.element_at(parts, F.col("_band") + 1))
+    # the next range only for sets that can have a like set there
+    reaches = (F.col("_band") == F.col("_own")) | (F.col("n") * 5 >= F.element_at(lows, F.col("_band") + 1) * 4)
+    banded = banded.where((F.col("_band") < len(ranges)) & reaches).withColumn("_k", F.element_at(parts, F.col("_band") + 1))
     part_of = lambda h: F.pmod(F.shiftright(h, 20), F.col("_k")).cast("int")
     whole = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda p: F.aggregate(F.filter("h", lambda h: part_of(h) == p), F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(h)))
     with_parts = banded.withColumn("_whole", whole)
-    full = F.transform("_whole", lambda v, p: F.struct(F.xxhash64(F.col("_band"), p, v).alias("key"), F.lit(False).alias("cut")))
-    less = F.transform("h", lambda h: F.struct(F.xxhash64(F.col("_band"), part_of(h), F.col("_whole")[part_of(h)].bitwiseXOR(h)).alias("key"), F.lit(True).alias("cut")))
-    return with_parts.select("id", "n", "bits", (F.col("_band") == F.col("_own")).alias("own"), F.explode(F.concat(full, less)).alias("_s")).select("id", "n", "bits", "own", "_s.key", "_s.cut")
+    # 48 bits of hash: shorter keys make for smaller shuffles, and pairs that meet by chance are discarded
+    key_of = lambda p, v: F.shiftrightunsigned(F.xxhash64(F.col("_band"), p, v), 16)
+    full = F.transform("_whole", lambda v, p: F.struct(key_of(p, v).alias("key"), F.lit(0).alias("cut")))
+    less = F.transform("h", lambda h: F.struct(key_of(part_of(h), F.col("_whole")[part_of(h)].bitwiseXOR(h)).alias("key"), F.lit(1).alias("cut")))
+    own_flag = (F.col("_band") == F.col("_own")).cast("int") * 2
+    each = with_parts.select("id", "bits", (F.col("n") * 4 + own_flag).alias("_m"), F.explode(F.concat(full, less)).alias("_s"))
+    return each.select("id", "bits", "_s.key", (F.col("_m") + F.col("_s.cut")).alias("meta"))
 
 
 def like_sets(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -55,16 +61,14 @@ def like_sets(left: DataFrame, right: DataFrame) -> DataFrame:
 
     def prepared(sets: DataFrame, name: str) -> DataFrame:
         bit = F.aggregate("h", F.lit(0).cast("bigint"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(63).cast("int"))))
-        return _signatures(sets.select("id", F.size("h").alias("n"), bit.alias("bits"), "h")).select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "bits", "own", "cut")], "key")
+        return _signatures(sets.select("id", F.size("h").alias("n"), bit.alias("bits"), "h")).select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "bits", "meta")], "key")
 
     a, b = prepared(left, "l"), prepared(right, "r")
-    most = (F.col("l_n") + F.col("r_n")) / 9 + 1e-9
-    near = (
-        (F.col("l_own") | F.col("r_own"))
-        & ~(F.col("l_cut") & F.col("r_cut"))
-        & (F.bit_count(F.col("l_bits").bitwiseXOR(F.col("r_bits"))) <= most)
-        & (F.least("l_n", "r_n") * 5 >= F.greatest("l_n", "r_n") * 4)
-    )
+    ln, rn = F.shiftright("l_meta", 2), F.shiftright("r_meta", 2)
+    flags = F.col("l_meta").bitwiseOR(F.col("r_meta")).bitwiseAND(2) == 2  # one in its own range at least
+    cuts = F.col("l_meta").bitwiseAND(F.col("r_meta")).bitwiseAND(1) == 0  # one whole at least
+    apart = F.bit_count(F.col("l_bits").bitwiseXOR(F.col("r_bits"))) * 9 <= ln + rn
+    near = flags & cuts & apart & (F.least(ln, rn) * 5 >= F.greatest(ln, rn) * 4)
     candidates = a.join(b, (a["key"] == b["key"]) & near).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")).distinct()
     sized = candidates.join(left.select(F.col("id").alias("left_id"), F.col("h").alias("_a")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("h").alias("_b")), "right_id")
     common = F.size(F.array_intersect("_a", "_b"))
