@@ -83,7 +83,7 @@ def closeness(
     clean = df.select(group, item, *[_usable(s).alias(f"_s{i}") for i, s in enumerate(scores)])
     ks = range(len(scores))
     bounds = clean.groupBy(group).agg(*[F.percentile_approx(f"_s{i}", list(winsor), 100_000).alias(f"_q{i}") for i in ks])
-    cut = [F.coalesce(F.greatest(F.least(F.col(f"_s{i}"), F.col(f"_q{i}")[1]), F.col(f"_q{i}")[0]), F.col(f"_q{i}")[0], F.lit(0.0)).alias(f"_x{i}") for i in ks]
+    cut = [F.coalesce(F.when(F.col(f"_s{i}").isNotNull(), F.greatest(F.least(f"_s{i}", F.col(f"_q{i}")[1]), F.col(f"_q{i}")[0])), F.col(f"_q{i}")[0], F.lit(0.0)).alias(f"_x{i}") for i in ks]
     wins = clean.join(bounds, group).select(group, item, *cut)
     stats = wins.groupBy(group).agg(*[a for i in ks for a in (F.sqrt(F.sum(F.col(f"_x{i}") ** 2)).alias(f"_norm{i}"), F.max(f"_x{i}").alias(f"_hi{i}"), F.min(f"_x{i}").alias(f"_lo{i}"))])
     both = wins.join(stats, group)
