@@ -24,3 +24,16 @@ def method_list(literal: Column) -> Column:
     quoted = F.regexp_extract_all(literal, F.lit(r"'([^']*)'|\"([^\"]*)\""), F.lit(0))
     inner = F.transform(F.coalesce(quoted, F.array().cast("array<string>")), lambda q: canonical_uri(q.substr(F.lit(2), F.length(q) - 2)))
     return F.array_distinct(F.filter(inner, lambda u: u != ""))
+
+
+def strip_generics(signature: Column, depth: int = 4) -> Column:
+    """A signature without type arguments in angle brackets, nested up to ``depth`` deep."""
+    for _ in range(depth):
+        signature = F.regexp_replace(signature, r"<[^<>]*>", "")
+    return signature
+
+
+def rooted(path: Column, prefix: str = "", drop: str = "") -> Column:
+    """A project's path as a dotted name: the segment matching the pattern ``drop`` goes, ``prefix`` comes before."""
+    kept = F.regexp_replace(path, rf"(^|/){drop}(?=/)", "") if drop else path
+    return F.concat(F.lit(prefix), F.translate(F.regexp_replace(kept, "^/", ""), "/", "."))

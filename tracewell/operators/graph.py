@@ -163,3 +163,41 @@ def metadata(nodes: DataFrame, edges: DataFrame, versions: DataFrame) -> DataFra
     e = edges.agg(F.count_if(F.col("rel") == "call").alias("n_calls"), F.count_if(F.col("rel") == "similar").alias("n_similar"))
     one = [x.withColumn("_k", F.lit(0)) for x in (n, e, versions.agg(F.count("*").alias("n_versions")))]
     return one[0].join(one[1], "_k").join(one[2], "_k").drop("_k")
+
+
+def latest_by_signature(nodes: DataFrame, v: int, chain: str = "chain_root") -> DataFrame:
+    """(class, name, n_params, uri): the newest live node of each short signature ``Class-name`` with its number of parameters."""
+    short = newest_at(nodes, v)
+    params = F.regexp_extract("relative_uri", r"\((.*)\)", 1)
+    n = F.when(params == "", 0).otherwise(F.size(F.split(params, ","))).cast("bigint")
+    keyed = short.select(F.regexp_extract("relative_uri", r"([^./-]+)-", 1).alias("class"), F.regexp_extract("relative_uri", r"-([^(]+)\(", 1).alias("name"), n.alias("n_params"), "version", "uri")
+    return keyed.groupBy("class", "name", "n_params").agg(F.max(F.struct("version", "uri"))["uri"].alias("uri"))
+
+
+def sum_metadata(rows: DataFrame) -> DataFrame:
+    """Sums of metadata that repositories report as strings; null and unreadable ones are skipped."""
+    return rows.agg(*[F.coalesce(F.sum(F.col(c).try_cast("bigint")), F.lit(0)).alias(c) for c in rows.columns])
+
+
+def extracted_commit(commits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(commit_id, extracted): the newest extracted commit not later than each wanted one, else the first extracted.
+
+    ``commits``: (ord, commit_id, extracted); ``wanted``: (commit_id). One pass by ranges of the order, not a join by range.
+    """
+    from pyspark.sql import Window
+
+    width = 10_000
+    at = commits.select("ord", "commit_id", "extracted", F.floor(F.col("ord") / width).alias("_b"))
+    last = at.where("extracted").groupBy("_b").agg(F.max_by("commit_id", "ord").alias("_last"), F.max("ord").alias("_at"))
+    every = at.select("_b").distinct().join(last, "_b", "left")
+    before = every.select("_b", F.last("_last", True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = F.last(F.when(F.col("extracted"), F.col("commit_id")), True).over(Window.partitionBy("_b").orderBy("ord"))
+    first = commits.where("extracted").agg(F.min_by("commit_id", "ord").alias("_first"))
+    seen = at.withColumn("_own", own).join(before, "_b").join(F.broadcast(first))
+    return seen.join(wanted.select("commit_id").distinct(), "commit_id", "left_semi").select("commit_id", F.coalesce("_own", "_before", "_first").alias("extracted"))
+
+
+def merge_properties(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) of both tables; where both have a key the new value counts, even a null one."""
+    both = old.select(key, F.col(value).alias("_o")).join(new.select(key, F.col(value).alias("_n"), F.lit(True).alias("_in")), key, "full")
+    return both.select(key, F.when(F.col("_in"), F.col("_n")).otherwise(F.col("_o")).alias(value))

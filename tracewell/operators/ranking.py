@@ -104,3 +104,23 @@ def metrics(rows: DataFrame, group: str, score: str, label: str, tie: str, ks: t
     per = true.withColumn("_p", j / F.col("rank")).groupBy(group).agg(F.min("rank").alias("first"), F.avg("_p").alias("ap"))
     hits = [F.avg((F.col("first") <= k).cast("double")).alias(f"hit_{k}") for k in ks]
     return per.agg(F.count("*").alias("n_groups"), *hits, F.avg("ap").alias("map"), F.avg(1.0 / F.col("first")).alias("mrr"))
+
+
+def visible_history(reports: DataFrame) -> DataFrame:
+    """(bug_id, n_visible) of (bug_id, commit_time, split): the strictly earlier reports a report may learn from.
+
+    Training reports see training reports only, test reports see all. Counted from one row per time and split.
+    """
+    per = reports.groupBy("commit_time").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("n_train"))
+    w = Window.orderBy("commit_time").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("commit_time", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in ("n", "n_train")])
+    return reports.join(before, "commit_time").select("bug_id", F.when(F.col("split") == "train", F.col("n_train")).otherwise(F.col("n")).alias("n_visible"))
+
+
+def hard_negatives(pool: DataFrame, texts: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(a, b, score): of ``2 * k`` sampled partners ``b`` of each ``a`` the ``k`` with the most similar texts (id, terms)."""
+    from .similarity import pair_cosine
+
+    sampled = sample_by_hash(pool.select("a", "b"), "a", "b", 2 * k, seed)
+    scored = pair_cosine(sampled, texts).withColumn("score", F.round("score", 9))
+    return top_scores(scored.select(F.col("a").alias("query"), F.col("b").alias("node"), "score"), k).select(F.col("query").alias("a"), F.col("node").alias("b"), "score")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_time, report_tokens, terms
-from ..functions.uris import method_list
+from ..functions.uris import method_list, rooted, strip_generics
 from ..operators import graph as G
 from ..operators import ranking as R
 from ..session import materialize, table
@@ -278,6 +278,58 @@ def ranking_metrics(s: SparkSession, d: str) -> DataFrame:
     return m.select("n_groups", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
 
 
+def generics_stripped(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "part")
+    sig = F.concat(F.lit("f(Map<"), "p_brand", F.lit(",List<"), "p_type", F.lit(">>,"), "p_name", F.lit(")"))
+    return p.select("p_partkey", strip_generics(sig).alias("signature"))
+
+
+def rooted_paths(s: SparkSession, d: str) -> DataFrame:
+    path = F.regexp_extract("node_position", r"\(([^:)]*)", 1)
+    return table(s, d, "method_versions").select(rooted(path, "org.", "(?:spi|internal|legacy)").alias("name")).distinct()
+
+
+def latest_by_signature(s: SparkSession, d: str) -> DataFrame:
+    return G.latest_by_signature(V.nodes(s, d), AT)
+
+
+def metadata_sum(s: SparkSession, d: str) -> DataFrame:
+    return G.sum_metadata(table(s, d, "bug_reports").select(F.col("commit_time").alias("seconds"), F.col("summary").alias("words")))
+
+
+def extracted_commit(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "orders").select(F.col("o_orderkey").alias("ord"), F.md5(F.col("o_orderkey").cast("string")).alias("commit_id"), (F.col("o_orderkey") % 97 == 5).alias("extracted"))
+    return G.extracted_commit(c, c)
+
+
+def merged_properties(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "part")
+    return G.merge_properties(p.where("p_partkey % 3 <> 0").select("p_partkey", F.col("p_brand").alias("value")), p.where("p_partkey % 2 = 0").select("p_partkey", F.col("p_type").alias("value")), "p_partkey", "value")
+
+
+def names_common(s: SparkSession, d: str) -> DataFrame:
+    """Names that both mapped methods and scored methods have."""
+    m = table(s, d, "method_map").select(F.rtrim("method_uri").alias("name"))
+    return m.intersect(table(s, d, "features").select(F.col("method_name").alias("name")))
+
+
+def names_left(s: SparkSession, d: str) -> DataFrame:
+    """Candidates that no report is labelled with."""
+    m = table(s, d, "method_map").select(F.rtrim("method_uri").alias("name")).distinct()
+    return m.join(table(s, d, "features").where("label = 1").select(F.col("method_name").alias("name")), "name", "left_anti")
+
+
+def visible_history(s: SparkSession, d: str) -> DataFrame:
+    return R.visible_history(V.reports(s, d).withColumn("split", F.when(F.col("bug_id") % 5 == 0, "test").otherwise("train")))
+
+
+def hard_negatives(s: SparkSession, d: str) -> DataFrame:
+    """For each tenth report the three of six sampled reports of the same source with the most similar text."""
+    r = table(s, d, "bug_reports")
+    pool = r.where("row_id % 10 = 0").select(F.col("row_id").alias("a")).select("a", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 9)).alias("b"))
+    return R.hard_negatives(pool, r.select(F.col("row_id").alias("id"), terms(F.col("report")).alias("terms")), 3).select("a", "b", F.round("score", 6).alias("score"))
+
+
 _V = "WITH " + V.SQL
 _AT = f"""{_V},
  g AS (SELECT chain_root, max(version) FILTER (WHERE version <= {AT}) AS v, max(version) FILTER (WHERE version <= {AT - 1}) AS v0, min(deleted_ver) AS gone FROM nodes GROUP BY chain_root),
@@ -368,6 +420,24 @@ SQL = {
     "features_assembled": """WITH f AS (SELECT bug_id, method_name, max(label) AS label, max(CASE WHEN isnan(bfr) THEN 0 WHEN bfr >= 0 THEN bfr END) AS bfr, max(CASE WHEN isnan(cfs) THEN 0 WHEN cfs >= 0 THEN cfs END) AS cfs
   FROM features WHERE method_name IS NOT NULL AND label IN (0, 1) GROUP BY ALL)
  SELECT bug_id, method_name, label, round(coalesce(bfr, 0), 6) AS bfr, round(coalesce(cfs, 0), 6) AS cfs FROM f WHERE bug_id IN (SELECT bug_id FROM f WHERE label = 1)""",
+    "generics_stripped": "SELECT p_partkey, concat('f(Map,', p_name, ')') AS signature FROM part",
+    "rooted_paths": r"SELECT DISTINCT concat('org.', replace(regexp_replace(regexp_replace(regexp_extract(node_position, '\(([^:)]*)', 1), '(^|/)(spi|internal|legacy)(/)', '\3', 'g'), '^/', ''), '/', '.')) AS name FROM method_versions WHERE node_position IS NOT NULL UNION SELECT NULL FROM method_versions WHERE node_position IS NULL",
+    "latest_by_signature": _AT + r" SELECT regexp_extract(relative_uri, '([^./-]+)-', 1) AS class, regexp_extract(relative_uri, '-([^(]+)\(', 1) AS name, CAST(2 AS BIGINT) AS n_params, uri FROM now_",
+    "metadata_sum": "SELECT coalesce(CAST(sum(CASE WHEN regexp_matches(commit_time, '^\\d+$') THEN CAST(commit_time AS BIGINT) END) AS BIGINT), 0) AS seconds, coalesce(CAST(sum(CASE WHEN regexp_matches(summary, '^\\d+$') THEN CAST(summary AS BIGINT) END) AS BIGINT), 0) AS words FROM bug_reports",
+    "extracted_commit": """WITH c AS (SELECT o_orderkey AS ord, md5(CAST(o_orderkey AS VARCHAR)) AS id, o_orderkey % 97 = 5 AS x FROM orders),
+ l AS (SELECT *, max(CASE WHEN x THEN ord END) OVER (ORDER BY ord) AS pos FROM c) SELECT id AS commit_id, md5(CAST(coalesce(pos, (SELECT min(ord) FROM c WHERE x)) AS VARCHAR)) AS extracted FROM l""",
+    "merged_properties": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END AS value FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 <> 0",
+    "names_common": "SELECT rtrim(method_uri) AS name FROM method_map INTERSECT SELECT method_name FROM features",
+    "names_left": "SELECT DISTINCT rtrim(method_uri) AS name FROM method_map WHERE rtrim(method_uri) NOT IN (SELECT method_name FROM features WHERE method_name IS NOT NULL AND label = 1)",
+    "visible_history": """WITH r AS (SELECT o_orderkey AS bug_id, o_orderdate AS t, o_orderkey % 5 <> 0 AS train FROM orders),
+ w AS (SELECT bug_id, train, count(*) OVER p AS n, count(*) FILTER (WHERE train) OVER p AS n_train FROM r WINDOW p AS (ORDER BY epoch_us(t) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT bug_id, CASE WHEN train THEN n_train ELSE n END AS n_visible FROM w""",
+    "hard_negatives": """WITH p AS (SELECT row_id AS a, row_id + unnest(range(1, 10)) AS b FROM bug_reports WHERE row_id % 10 = 0),
+ x AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY md5(concat_ws('|', '0', a, b)), b) AS rn FROM p) q WHERE rn <= 6),
+ tok AS (SELECT row_id AS id, lower(unnest(report)) AS term FROM bug_reports), c AS (SELECT id, term, count(*) AS n FROM tok GROUP BY ALL), l AS (SELECT id, sum(n * n) AS norm FROM c GROUP BY ALL),
+ s AS (SELECT a, b, sum(u.n * v.n) AS s, sum(u.n * u.n) AS su, sum(v.n * v.n) AS sv FROM x JOIN c u ON u.id = a JOIN c v ON v.id = b AND u.term = v.term GROUP BY ALL),
+ f AS (SELECT x.a, x.b, coalesce(round(s / sqrt((w * lu.norm - (w - 1) * su) * (w * lv.norm - (w - 1) * sv)), 9), 0) AS score FROM x LEFT JOIN s USING (a, b) LEFT JOIN l lu ON lu.id = x.a LEFT JOIN l lv ON lv.id = x.b, (SELECT power(ln(1.5) + 1, 2) AS w) k)
+ SELECT a, b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b DESC) AS rn FROM f) q WHERE rn <= 3""",
     "ranking_metrics": _SCORED
     + """, r AS (SELECT *, row_number() OVER (PARTITION BY bug_id ORDER BY buggy_rate DESC, method_name) AS rk FROM s), t AS (SELECT bug_id, rk, row_number() OVER (PARTITION BY bug_id ORDER BY rk) / rk AS p FROM r WHERE label = 1),
  g AS (SELECT bug_id, min(rk) AS first, avg(p) AS ap FROM t GROUP BY ALL)
