@@ -22,3 +22,8 @@ def test_kept_paths_give_the_same_entities(spark):
 
 def test_empty_table(spark):
     assert shred(spark.createDataFrame([], "key bigint, j string"), "key", "j").count() == 0
+
+
+def test_arrays_in_arrays_belong_to_their_object(spark):
+    nodes = shred(spark.createDataFrame([(1, '{"a": [[{"x": 1}], [{"x": 2}]]}')], "key bigint, j string"), "key", "j")
+    assert {(r.owner, r.ordinal) for r in nodes.where("path = 'a[][]'").collect()} == {(0, 0)}

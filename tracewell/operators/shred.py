@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ADJACENCY = "key bigint, root_pos int, node int, parent int, path string, label string, ordinal int, kind string, scalar string"
+ADJACENCY = "key bigint, root_pos int, node int, parent int, owner int, path string, label string, ordinal int, kind string, scalar string"
 _ARROW = pa.schema(
-    [("key", pa.int64()), ("root_pos", pa.int32()), ("node", pa.int32()), ("parent", pa.int32()), ("path", pa.string()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())]
+    [("key", pa.int64()), ("root_pos", pa.int32()), ("node", pa.int32()), ("parent", pa.int32()), ("owner", pa.int32()), ("path", pa.string()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())]
 )
 
 
@@ -47,11 +47,11 @@ def _scalar(value) -> str | None:
 
 def _nodes(key: int, root_pos: int, root: dict, keep: set[str] | None, out: list[list]) -> None:
     """Append the nodes of one root object in document order. Iterative, so depth has no limit."""
-    node, stack = 0, [(root, -1, "", "", 0)]
+    node, stack = 0, [(root, -1, -1, "", "", 0)]
     while stack:
-        value, parent, path, label, ordinal = stack.pop()
+        value, parent, owner, path, label, ordinal = stack.pop()
         kind = "object" if isinstance(value, dict) else "array" if isinstance(value, list) else "null" if value is None else "string" if isinstance(value, str) else "scalar"
-        row = (key, root_pos, node, parent, path, label, ordinal, kind, None if kind in ("object", "array", "null") else _scalar(value))
+        row = (key, root_pos, node, parent, owner, path, label, ordinal, kind, None if kind in ("object", "array", "null") else _scalar(value))
         for column, cell in zip(out, row, strict=True):
             column.append(cell)
         below: list = []
@@ -59,11 +59,11 @@ def _nodes(key: int, root_pos: int, root: dict, keep: set[str] | None, out: list
             for k, v in value.items():
                 inner = f"{path}.{k}" if path else k
                 if keep is None or inner in keep:
-                    below.append((v, node, inner, k, 0))
+                    below.append((v, node, node, inner, k, 0))
         elif kind == "array":
             inner = path + "[]"
             if keep is None or inner in keep:
-                below = [(v, node, inner, label, i) for i, v in enumerate(value)]
+                below = [(v, node, owner, inner, label, i) for i, v in enumerate(value)]
         stack.extend(reversed(below))
         node += 1
 
@@ -72,8 +72,9 @@ def shred(df: DataFrame, key: str, column: str, wrapper: str | None = None, path
     """The adjacency table of a column of JSON texts: one row per object, array, scalar or null.
 
     A text holds one root object or an array of them (``root_pos`` counts array places from 0, nulls included). The
-    result has (key, root_pos, node, parent, path, label, ordinal, kind, scalar): ``node`` numbers a root's nodes in
-    document order from 0, ``parent`` is -1 for the root, ``path`` joins labels by ``.`` and ends in ``[]`` for an
+    result has (key, root_pos, node, parent, owner, path, label, ordinal, kind, scalar): ``node`` numbers a root's nodes in
+    document order from 0, ``parent`` is -1 for the root, ``owner`` is the object that a value belongs to (for the elements of an array
+    the one that holds the array), ``path`` joins labels by ``.`` and ends in ``[]`` for an
     element, ``ordinal`` is the place in the array, ``kind`` is object, array, string, scalar or null.
 
     Null, cut off and non-JSON texts, ``NaN`` constants and roots that are no objects give no rows. ``paths`` names the
@@ -102,15 +103,11 @@ def shred(df: DataFrame, key: str, column: str, wrapper: str | None = None, path
 def objects(nodes: DataFrame, path: str) -> DataFrame:
     """The non-null nodes at ``path``, or where an array stands there its non-null elements.
 
-    (key, root_pos, node, up, pos, scalar): ``up`` is the parent of the value that stands at ``path`` (the array's
-    parent for elements), ``pos`` the place in the array, 0 for a single value.
+    (key, root_pos, node, up, pos, scalar): ``up`` is the object that holds the value or the array, ``pos`` the place in the
+    array, 0 for a single value.
     """
-    at = nodes.where((F.col("kind") != "null") & F.col("path").isin(path, path + "[]"))
-    single = at.where((F.col("path") == path) & (F.col("kind") != "array")).select("key", "root_pos", "node", F.col("parent").alias("up"), F.lit(0).alias("pos"), "scalar")
-    arrays = at.where((F.col("path") == path) & (F.col("kind") == "array")).select("key", "root_pos", F.col("node").alias("array"), F.col("parent").alias("up"))
-    element = at.where(F.col("path") == path + "[]").select("key", "root_pos", "node", F.col("parent").alias("array"), F.col("ordinal").alias("pos"), "scalar")
-    listed = element.join(arrays, ["key", "root_pos", "array"]).select("key", "root_pos", "node", "up", "pos", "scalar")
-    return single.unionByName(listed)
+    at = nodes.where(F.col("path").isin(path, path + "[]") & ~F.col("kind").isin("null", "array"))
+    return at.select("key", "root_pos", "node", F.col("owner").alias("up"), F.col("ordinal").alias("pos"), "scalar")
 
 
 def entity(nodes: DataFrame, path: str, fields: list[str]) -> DataFrame:

@@ -42,6 +42,13 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     filter pushdown for the readers and is several times smaller than checkpointed rows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tracewell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; DataFrames that read them can't be used any more."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tracewell/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(context.hadoopConfiguration()).delete(folder, True)
