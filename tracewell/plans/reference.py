@@ -138,11 +138,10 @@ def node_degrees(s: SparkSession, d: str) -> DataFrame:
 
 
 def two_hops(s: SparkSession, d: str) -> DataFrame:
-    """Methods two undirected calls apart, over distinct call edges; hot middles are pruned by degree."""
-    e = materialize(G.undirected(V.call_edges(s, d), "src", "dst").distinct(), "undirected")
-    small = e.groupBy("node").agg(F.count("*").alias("deg")).where("deg <= 35").select("node")
-    mid = e.join(small, "node")
-    return mid.alias("a").join(mid.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.neighbour") < F.col("b.neighbour"))).select(F.col("a.neighbour").alias("x"), F.col("b.neighbour").alias("y")).distinct()
+    """Methods that a method reaches by two calls, each once."""
+    e = materialize(V.call_edges(s, d), "calls")
+    after = e.select(F.col("src").alias("mid"), F.col("dst").alias("y"))
+    return e.select(F.col("src").alias("x"), F.col("dst").alias("mid")).join(after, "mid").where("x <> y").select("x", "y").distinct()
 
 
 def triples(s: SparkSession, d: str) -> DataFrame:
@@ -225,10 +224,10 @@ def collaborative(s: SparkSession, d: str) -> DataFrame:
     seeds = q.join(o, "o_custkey").where("query <> o_orderkey").select("query", F.col("o_orderkey").alias("node"), F.round(F.col("o_totalprice") / 1e6, 3).alias("score"))
     fixed = V.report_methods(s, d)
     links = o.select(F.col("o_orderkey").alias("node"), (F.col("o_orderkey") + 1).alias("neighbour"))
-    e = V.call_edges(s, d).where("src % 10 = 0")
+    e = V.call_edges(s, d)
     both = G.undirected(e.select("src", "dst", F.lit(0.5).alias("sim")), "src", "dst", "sim")
     out = R.collaborative(seeds, links, fixed.select(F.col("bug_id").alias("node"), "method_id"), both.distinct())
-    return out.select("query", "method_id", F.round("cfs", 6).alias("cfs"))
+    return out.select("query", "method_id", F.round(F.col("cfs") + 1e-9, 6).alias("cfs"))  # exact halves round alike whatever the order of summing
 
 
 def negatives(s: SparkSession, d: str) -> DataFrame:
@@ -324,9 +323,9 @@ def visible_history(s: SparkSession, d: str) -> DataFrame:
 
 
 def hard_negatives(s: SparkSession, d: str) -> DataFrame:
-    """For each tenth report the three of six sampled reports of the same source with the most similar text."""
+    """For each report divisible by 50 the three of six sampled later reports with the most similar text."""
     r = table(s, d, "bug_reports")
-    pool = r.where("row_id % 10 = 0").select(F.col("row_id").alias("a")).select("a", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 9)).alias("b"))
+    pool = r.where("row_id % 50 = 0").select(F.col("row_id").alias("a")).select("a", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 9)).alias("b"))
     return R.hard_negatives(pool, r.select(F.col("row_id").alias("id"), terms(F.col("report")).alias("terms")), 3).select("a", "b", F.round("score", 6).alias("score"))
 
 
@@ -376,9 +375,7 @@ SQL = {
     "graph_metadata": _AT + " SELECT (SELECT count(*) FROM nodes WHERE label = 'Method') AS n_methods, (SELECT count(*) FROM calls) AS n_calls, CAST(0 AS BIGINT) AS n_similar, (SELECT count(*) FROM ver) AS n_versions",
     "leaf_nodes": _V + " SELECT uri FROM nodes WHERE next_uri IS NULL",
     "node_degrees": _AT + " SELECT dst, count(*) AS n FROM calls GROUP BY dst HAVING count(*) >= 25",
-    "two_hops": _CALLS
-    + """, u AS (SELECT DISTINCT * FROM (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e) q), m AS (SELECT a FROM u GROUP BY a HAVING count(*) <= 35)
- SELECT DISTINCT x.b AS x, y.b AS y FROM u x JOIN u y ON x.a = y.a AND x.b < y.b WHERE x.a IN (SELECT a FROM m)""",
+    "two_hops": _CALLS + " SELECT DISTINCT a.src AS x, b.dst AS y FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst",
     "triples": _AT + " SELECT concat_ws(chr(9), c.src, c.rel, c.dst) AS line FROM calls c JOIN nodes s ON s.uri = c.src AND s.label = 'Method' JOIN nodes t ON t.uri = c.dst AND t.label = 'Method'",
     "snapshot_triples": _AT + " SELECT concat_ws(chr(9), uri, 'label', label) AS line FROM now_ UNION SELECT concat_ws(chr(9), class_uri, 'has', uri) FROM now_ UNION SELECT concat_ws(chr(9), src, rel, dst) FROM live_calls",
     "upsert_nodes": """WITH e AS (SELECT concat('u', user_id) AS uri, event_id, event_type, ts FROM events), old AS (SELECT uri, max(event_type) AS event_type FROM e WHERE event_id % 2 = 0 GROUP BY ALL),
@@ -405,9 +402,9 @@ SQL = {
  rep AS (SELECT query, node, sum(score) AS score FROM (SELECT * FROM best UNION ALL SELECT * FROM more) z GROUP BY ALL),
  fx AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS m FROM lineitem), fd AS (SELECT node, count(*) AS n FROM fx GROUP BY ALL),
  ms AS (SELECT query, m, sum(score / n) AS score FROM rep JOIN fd USING (node) JOIN fx USING (node) GROUP BY ALL),
- ml AS (SELECT DISTINCT * FROM (SELECT src AS a, dst AS b FROM e WHERE src % 10 = 0 UNION ALL SELECT dst, src FROM e WHERE src % 10 = 0) z), md AS (SELECT a, count(*) AS n FROM ml GROUP BY ALL),
+ ml AS (SELECT DISTINCT * FROM (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e) z), md AS (SELECT a, count(*) AS n FROM ml GROUP BY ALL),
  ex AS (SELECT query, b AS m, 0.5 / n AS score FROM ms JOIN md ON md.a = ms.m JOIN ml ON ml.a = ms.m)
- SELECT query, m AS method_id, round(sum(score), 6) AS cfs FROM (SELECT * FROM ms UNION ALL SELECT * FROM ex) z GROUP BY ALL""",
+ SELECT query, m AS method_id, round(sum(score) + 1e-9, 6) AS cfs FROM (SELECT * FROM ms UNION ALL SELECT * FROM ex) z GROUP BY ALL""",
     "negatives": """SELECT bug_id, method_name FROM (SELECT *, row_number() OVER (PARTITION BY bug_id ORDER BY md5(concat_ws('|', '0', bug_id, method_name)), method_name) AS rn
  FROM (SELECT DISTINCT bug_id, method_name FROM features WHERE label = 0 AND method_name IS NOT NULL) q) q WHERE rn <= 3""",
     "oversampled": "SELECT bug_id, label, unnest(range(CASE WHEN label = 1 THEN 3 ELSE 1 END)) AS copy, n FROM (SELECT bug_id, label, count(*) AS n FROM features WHERE label IN (0, 1) GROUP BY ALL) q",
@@ -432,7 +429,7 @@ SQL = {
     "visible_history": """WITH r AS (SELECT o_orderkey AS bug_id, o_orderdate AS t, o_orderkey % 5 <> 0 AS train FROM orders),
  w AS (SELECT bug_id, train, count(*) OVER p AS n, count(*) FILTER (WHERE train) OVER p AS n_train FROM r WINDOW p AS (ORDER BY epoch_us(t) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
  SELECT bug_id, CASE WHEN train THEN n_train ELSE n END AS n_visible FROM w""",
-    "hard_negatives": """WITH p AS (SELECT row_id AS a, row_id + unnest(range(1, 10)) AS b FROM bug_reports WHERE row_id % 10 = 0),
+    "hard_negatives": """WITH p AS (SELECT row_id AS a, row_id + unnest(range(1, 10)) AS b FROM bug_reports WHERE row_id % 50 = 0),
  x AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY md5(concat_ws('|', '0', a, b)), b) AS rn FROM p) q WHERE rn <= 6),
  tok AS (SELECT row_id AS id, lower(unnest(report)) AS term FROM bug_reports), c AS (SELECT id, term, count(*) AS n FROM tok GROUP BY ALL), l AS (SELECT id, sum(n * n) AS norm FROM c GROUP BY ALL),
  s AS (SELECT a, b, sum(u.n * v.n) AS s, sum(u.n * u.n) AS su, sum(v.n * v.n) AS sv FROM x JOIN c u ON u.id = a JOIN c v ON v.id = b AND u.term = v.term GROUP BY ALL),

@@ -57,7 +57,7 @@ def issue_filters(s: SparkSession, d: str) -> DataFrame:
 
 def ranked_results(s: SparkSession, d: str) -> DataFrame:
     """Result strings of each bug's methods, parsed back."""
-    f = table(s, d, "features").where("method_name is not null and buggy_rate >= 0 and not isnan(buggy_rate) and bug_id <> 101").groupBy("bug_id", "method_name").agg(F.max("buggy_rate").alias("p"))
+    f = table(s, d, "features").where("method_name is not null and buggy_rate >= 0 and not isnan(buggy_rate)").groupBy("bug_id", "method_name").agg(F.max("buggy_rate").alias("p"))
     text = f.groupBy("bug_id").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("('"), "method_name", F.lit("', "), F.format_string("%.4f", "p"), F.lit(")")))), ", "), F.lit("]")).alias("r"))
     return result_rows(text, "r").select("bug_id", "place", "uri", F.round("probability", 4).alias("probability"))
 
@@ -123,7 +123,7 @@ SQL = {
  s AS (SELECT q.id AS query, t.id AS node, sum(x.n * y.n) AS s, sum(x.n * x.n) AS sx, sum(y.n * y.n) AS sy FROM r q JOIN c x ON x.id = q.id JOIN c y ON y.term = x.term JOIN r t ON t.id = y.id WHERE q.id % 50 = 0 AND t.ts < q.ts GROUP BY ALL),
  g AS (SELECT query, node, round(s / sqrt((w * xx - (w - 1) * sx) * (w * yy - (w - 1) * sy)), 9) AS score FROM (SELECT s.*, lx.norm AS xx, ly.norm AS yy, power(ln(1.5) + 1, 2) AS w FROM s JOIN l lx ON lx.id = query JOIN l ly ON ly.id = node) q)
  SELECT query, node, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node DESC) AS rn FROM g) q WHERE rn <= 50""",
-    "ranked_results": """WITH f AS (SELECT bug_id, method_name, max(buggy_rate) AS p FROM features WHERE method_name IS NOT NULL AND buggy_rate >= 0 AND NOT isnan(buggy_rate) AND bug_id <> 101 GROUP BY ALL)
+    "ranked_results": """WITH f AS (SELECT bug_id, method_name, max(buggy_rate) AS p FROM features WHERE method_name IS NOT NULL AND buggy_rate >= 0 AND NOT isnan(buggy_rate) GROUP BY ALL)
  SELECT bug_id, CAST(row_number() OVER (PARTITION BY bug_id ORDER BY concat('(''', method_name, ''', ', format('{:.4f}', p), ')')) - 1 AS INTEGER) AS place, method_name AS uri, round(CAST(format('{:.4f}', p) AS DOUBLE), 4) AS probability FROM f""",
     "diff_lines": """WITH t AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM documents WHERE kind = 'code' AND text IS NOT NULL), u AS (SELECT id, CAST(unnest(range(len(ls))) AS INTEGER) AS pos, unnest(ls) AS x FROM t),
  k AS (SELECT id, pos, [' ', '-', '+', ' '][CAST((pos * 7 + length(x)) % 4 AS INTEGER) + 1] AS kind FROM u)
