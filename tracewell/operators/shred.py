@@ -38,6 +38,15 @@ def _unwrapped(value, wrapper: str | None):
     return value
 
 
+def _roots(text: str | None, wrapper: str | None) -> Iterator[tuple[int, dict]]:
+    """The root objects of a text with their places in the array, 0 for a single one."""
+    value = _unwrapped(_parsed(text), wrapper)
+    for pos, root in enumerate(value if isinstance(value, list) else [value]):
+        root = _unwrapped(root, wrapper)
+        if isinstance(root, dict):
+            yield pos, root
+
+
 def _scalar(value) -> str | None:
     if value is None:
         return None
@@ -87,11 +96,8 @@ def shred(df: DataFrame, key: str, column: str, wrapper: str | None = None, path
         for batch in batches:
             out: list[list] = [[] for _ in _ARROW]
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                value = _unwrapped(_parsed(text.as_py()), wrapper)
-                for pos, root in enumerate(value if isinstance(value, list) else [value]):
-                    root = _unwrapped(root, wrapper)
-                    if isinstance(root, dict):
-                        _nodes(k, pos, root, keep, out)
+                for pos, root in _roots(text.as_py(), wrapper):
+                    _nodes(k, pos, root, keep, out)
                 if len(out[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _ARROW, strict=True)], schema=_ARROW)
                     out = [[] for _ in _ARROW]
@@ -126,3 +132,36 @@ def entity(nodes: DataFrame, path: str, fields: list[str]) -> DataFrame:
     child = nodes.where(F.col("path").isin(below) & F.col("kind").isin("string", "scalar")).select("key", "root_pos", F.col("parent").alias("node"), "label", F.col("scalar").alias("_value"))
     wide = child.groupBy("key", "root_pos", "node").agg(*[F.max(F.when(F.col("label") == f, F.col("_value"))).alias(f"_{i}") for i, f in enumerate(fields)])
     return own.join(wide, ["key", "root_pos", "node"], "left").select("key", "root_pos", "node", "up", "pos", "scalar", *[F.col(f"_{i}").alias(f) for i, f in enumerate(fields)])
+
+
+EVENTS = "key bigint, event_pos int, action string, repo string, number bigint, title string, body string, labels array<struct<name: string>>"
+_EVENTS_ARROW = pa.schema(
+    [("key", pa.int64()), ("event_pos", pa.int32()), ("action", pa.string()), ("repo", pa.string()), ("number", pa.int64()), ("title", pa.string()), ("body", pa.string()), ("labels", pa.list_(pa.struct([("name", pa.string())])))]
+)
+
+
+def _event(root: dict) -> tuple:
+    inner = lambda v: v if isinstance(v, dict) else {}
+    text = lambda v: None if isinstance(v, (dict, list)) else _scalar(v)
+    issue = inner(root.get("issue"))
+    number, labels = issue.get("number"), issue.get("labels")
+    whole = isinstance(number, int) and not isinstance(number, bool) and -(2**63) <= number < 2**63
+    each = [x for x in (labels if isinstance(labels, list) else [labels]) if x is not None and not isinstance(x, list)]
+    names = [{"name": text(x.get("name") if isinstance(x, dict) else x)} for x in each]
+    return text(root.get("action")), text(inner(root.get("repository")).get("name")), number if whole else None, text(issue.get("title")), text(issue.get("body")), names
+
+
+def issue_events(df: DataFrame, key: str, column: str, wrapper: str = "payload") -> DataFrame:
+    """One row per event of a column of issue payloads, its roots and labels as ``shred`` finds them; no shuffle, so it serves streams.
+
+    (key, event_pos, action, repo, number, title, body, labels): a label is an object with a name or the name itself, one or an array of
+    them; a missing value, and a number that is no 64-bit integer, is null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, pos, *_event(root)) for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for pos, root in _roots(text.as_py(), wrapper)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(_EVENTS_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _EVENTS_ARROW, strict=True)], schema=_EVENTS_ARROW)
+
+    return df.select(F.col(key).cast("bigint").alias("key"), F.col(column).alias("text")).mapInArrow(run, EVENTS)

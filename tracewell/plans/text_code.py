@@ -11,9 +11,9 @@ from ..operators import diffs as D
 from ..operators import model as M
 from ..operators import ranking as R
 from ..operators.current import current_rows
+from ..operators.shred import issue_events
 from ..operators.similarity import earlier_similar, pair_cosine
 from ..session import materialize, table
-from ..sources.files import ISSUE_JSON
 from ..sources.sinks import pivot_triples
 from ..streaming.hooks import is_bug, result_rows, title_commit
 
@@ -49,10 +49,10 @@ def earlier_reports(s: SparkSession, d: str) -> DataFrame:
 
 
 def issue_filters(s: SparkSession, d: str) -> DataFrame:
-    """Single-event payloads with their bug label test and the commit that the title names."""
-    e = table(s, d, "view_issue").where("payload rlike '^\\\\s*\\\\{\\\\s*\"(action|issue|comment|comments|repository|sender)\"'").select("hook_id", F.from_json("payload", ISSUE_JSON).alias("e"))
-    title = F.concat(F.coalesce("e.issue.title", F.lit("")), F.lit("&commitId:"), F.left(F.md5(F.col("hook_id").cast("string")), F.lit(8)))
-    return e.where("e.issue.number is not null").select("hook_id", is_bug(F.col("e.issue.labels")).alias("bug"), title_commit(title).alias("commit"))
+    """Every event of the issue payloads with its bug label test and the commit that the title names."""
+    e = issue_events(table(s, d, "view_issue"), "hook_id", "payload")
+    title = F.concat(F.coalesce("title", F.lit("")), F.lit("&commitId:"), F.left(F.md5(F.col("key").cast("string")), F.lit(8)))
+    return e.select(F.col("key").alias("hook_id"), "event_pos", is_bug(F.col("labels")).alias("bug"), title_commit(title).alias("commit"))
 
 
 def ranked_results(s: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,6 @@ REPORT_CSV = "bug_id string, commit_id string, summary string, description strin
 NODE_CSV = "uri string, label string, commitID string, notDeclared string, isConstructor string, deletedVer string, sourceCode string, position string"
 EDGE_CSV = "node1 string, relation string, node2 string"
 SNAPSHOT_JSON = "methodMap map<string, array<struct<propertys: map<string, string>>>>"
-ISSUE_JSON = "action string, issue struct<url: string, number: bigint, title: string, body: string, labels: array<struct<name: string>>, user: struct<login: string>>, repository struct<name: string, full_name: string>, sender struct<login: string>"
 
 
 def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

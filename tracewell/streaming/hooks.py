@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import ISSUE_JSON
+from ..operators.shred import issue_events
 
 
 def is_bug(labels: Column) -> Column:
@@ -29,10 +29,13 @@ def result_rows(df: DataFrame, column: str) -> DataFrame:
 
 
 def opened_bugs(events: DataFrame, pinned: dict[str, str] | None = None) -> DataFrame:
-    """(repo, number, title, body, commit) of opened issues with a bug label: the commit is the pinned one of the project, else the title's."""
-    e = events.select(F.from_json("payload", ISSUE_JSON).alias("e")).select("e.*").where((F.col("action") == "opened") & is_bug(F.col("issue.labels")))
+    """(repo, number, title, body, commit) of opened issues with a bug label: the commit is the pinned one of the project, else the title's.
+
+    Of every event of a payload (hook_id, payload), arrays and wrappers included.
+    """
+    e = issue_events(events, "hook_id", "payload").where((F.col("action") == "opened") & is_bug(F.col("labels")))
     pin = F.create_map(*[F.lit(x) for kv in (pinned or {"": ""}).items() for x in kv])
-    return e.select(F.col("repository.name").alias("repo"), F.col("issue.number").alias("number"), F.col("issue.title").alias("title"), F.col("issue.body").alias("body"), F.coalesce(F.try_element_at(pin, F.col("repository.name")), title_commit(F.col("issue.title"))).alias("commit"))
+    return e.select("repo", "number", "title", "body", F.coalesce(F.try_element_at(pin, F.col("repo")), title_commit(F.col("title"))).alias("commit"))
 
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame, int], None]):
