@@ -1,10 +1,19 @@
 """Queries that have to do the whole job, on small tables."""
 
 import json
+import os
+from collections import defaultdict
+from itertools import combinations
 
-from tracewell.plans import text_code
+import pytest
+
+from tracewell.plans import reference, text_code
+from tracewell.plans import virtual as V
 from tracewell.streaming.hooks import opened_bugs, watch
 
+D = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(D), reason="needs the test tables")
+
 
 def event(number, labels, action="opened"):
     return {"action": action, "issue": {"number": number, "title": f"t{number} & commitId: ab{number}", "body": "b", "labels": labels}, "repository": {"name": "r"}}
@@ -37,3 +46,14 @@ def test_every_opened_bug_is_found(spark, tmp_path):
     seen = []
     watch(spark, f"{tmp_path}/in", f"{tmp_path}/at", lambda b, _: seen.extend(r.number for r in b.collect())).awaitTermination(100)
     assert set(seen) == found
+
+
+@needs_tables
+def test_two_hops_are_undirected(spark):
+    near = defaultdict(set)
+    for r in V.call_edges(spark, D).collect():
+        near[r.src].add(r.dst)
+        near[r.dst].add(r.src)
+    want = {p for v in near.values() for p in combinations(sorted(v), 2)}
+    rows = reference.two_hops(spark, D).collect()
+    assert len(rows) == len(want) and {(r.x, r.y) for r in rows} == want

@@ -138,10 +138,10 @@ def node_degrees(s: SparkSession, d: str) -> DataFrame:
 
 
 def two_hops(s: SparkSession, d: str) -> DataFrame:
-    """Methods that a method reaches by two calls, each once."""
-    e = materialize(V.call_edges(s, d), "calls")
-    after = e.select(F.col("src").alias("mid"), F.col("dst").alias("y"))
-    return e.select(F.col("src").alias("x"), F.col("dst").alias("mid")).join(after, "mid").where("x <> y").select("x", "y").distinct()
+    """Methods two undirected calls apart, each pair once, over all distinct call edges."""
+    e = materialize(G.undirected(V.call_edges(s, d), "src", "dst").distinct(), "undirected")
+    far = e.select("node", F.col("neighbour").alias("y"))
+    return e.select("node", F.col("neighbour").alias("x")).join(far, "node").where("x < y").select("x", "y").distinct()
 
 
 def triples(s: SparkSession, d: str) -> DataFrame:
