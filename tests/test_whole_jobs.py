@@ -7,8 +7,10 @@ from itertools import combinations
 
 import pytest
 
+from tracewell.operators import ranking as R
 from tracewell.plans import reference, text_code
 from tracewell.plans import virtual as V
+from tracewell.session import table
 from tracewell.streaming.hooks import opened_bugs, watch
 
 D = "/root/testdata/sf0.001"
@@ -57,3 +59,27 @@ def test_two_hops_are_undirected(spark):
     want = {p for v in near.values() for p in combinations(sorted(v), 2)}
     rows = reference.two_hops(spark, D).collect()
     assert len(rows) == len(want) and {(r.x, r.y) for r in rows} == want
+
+
+def test_pool_leaves_out_the_own_group(spark):
+    rows = spark.range(200).selectExpr("id as row_id", "case when id < 30 then 7 when id = 31 then null else id end as bug_id")
+    pool = defaultdict(set)
+    for r in R.other_rows(rows.where("row_id % 10 = 0 or row_id = 31"), rows, "row_id", "bug_id", 40).collect():
+        assert r.b not in pool[r.a]
+        pool[r.a].add(r.b)
+    assert len(pool) == 21 and all(len(v) >= 40 for v in pool.values())
+    assert not any(b < 30 for a, v in pool.items() for b in v if a < 30) and not any(a in v for a, v in pool.items())
+    small = rows.where("row_id < 50")
+    every = R.other_rows(small.where("row_id = 0"), small, "row_id", "bug_id", 40)
+    assert {r.b for r in every.collect()} == set(range(30, 50))
+
+
+@needs_tables
+def test_hard_negatives_come_from_all_other_bugs(spark):
+    bug = {r.row_id: r.bug_id for r in table(spark, D, "bug_reports").select("row_id", "bug_id").collect()}
+    found = defaultdict(set)
+    for r in reference.hard_negatives(spark, D).collect():
+        found[r.a].add(r.b)
+    assert set(found) == {i for i in bug if i % 50 == 0}
+    assert all(len(v) == 20 and v <= set(bug) and bug[a] not in {bug[b] for b in v} for a, v in found.items())
+    assert any(b < a for a, v in found.items() for b in v) and any(b > a + 9 for a, v in found.items() for b in v)

@@ -117,6 +117,31 @@ def visible_history(reports: DataFrame) -> DataFrame:
     return reports.join(before, "commit_time").select("bug_id", F.when(F.col("split") == "train", F.col("n_train")).otherwise(F.col("n")).alias("n_visible"))
 
 
+def other_rows(queries: DataFrame, rows: DataFrame, key: str, group: str, k: int, buckets: int = 4096) -> DataFrame:
+    """(a, b): for each query row a random sample of rows ``b`` of other groups, at least ``k`` of them or all there are.
+
+    All rows stand in the order of a hash of their unique ``key``, as in a circle. A query takes the places from one that its own hash names
+    on: ``k`` and as many as its group has rows, so that ``k`` are left without those. Joined by place, no cross join; the window
+    without partition holds one row per hash bucket.
+    """
+    h = F.xxhash64(F.lit("place"), F.col(key))
+    bucket = F.pmod(h, F.lit(buckets))
+    at = rows.select(F.col(key).alias("b"), F.col(group).alias("_group_b"), bucket.alias("_bucket"), h.alias("_h"))
+    n = at.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = n.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", "b"))
+    placed = at.withColumn("_own", own).join(before, "_bucket").select("b", "_group_b", (F.col("_before") + F.col("_own") - 1).alias("_place"))
+    total = rows.count()
+    if not total:
+        return queries.select(F.col(key).alias("a"), F.col(key).alias("b")).limit(0)
+    same = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_same"))
+    q = queries.select(F.col(key).alias("a"), F.col(group).alias("_group_a"))
+    sized = q.join(same, F.col("_group_a").eqNullSafe(F.col("_group"))).withColumn("_from", F.pmod(F.xxhash64(F.lit("from"), F.col("a")), F.lit(total)))
+    steps = F.sequence(F.lit(0), F.least(F.lit(total), F.col("_same") + k).cast("int") - 1)
+    wanted = sized.select("a", "_group_a", "_from", F.explode(steps).alias("_step")).select("a", "_group_a", F.pmod(F.col("_from") + F.col("_step"), F.lit(total)).alias("_place"))
+    return wanted.join(placed, "_place").where(~F.col("_group_a").eqNullSafe(F.col("_group_b"))).select("a", "b")
+
+
 def hard_negatives(pool: DataFrame, texts: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """(a, b, score): of ``2 * k`` sampled partners ``b`` of each ``a`` the ``k`` with the most similar texts (id, terms)."""
     from .similarity import pair_cosine

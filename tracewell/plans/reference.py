@@ -323,10 +323,10 @@ def visible_history(s: SparkSession, d: str) -> DataFrame:
 
 
 def hard_negatives(s: SparkSession, d: str) -> DataFrame:
-    """For each report divisible by 50 the three of six sampled later reports with the most similar text."""
+    """For each report divisible by 50 the 20 of 40 sampled reports of other bugs with the most similar text."""
     r = table(s, d, "bug_reports")
-    pool = r.where("row_id % 50 = 0").select(F.col("row_id").alias("a")).select("a", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 9)).alias("b"))
-    return R.hard_negatives(pool, r.select(F.col("row_id").alias("id"), terms(F.col("report")).alias("terms")), 3).select("a", "b", F.round("score", 6).alias("score"))
+    pool = R.other_rows(r.where("row_id % 50 = 0").select("row_id", "bug_id"), r, "row_id", "bug_id", 40)
+    return R.hard_negatives(pool, r.select(F.col("row_id").alias("id"), terms(F.col("report")).alias("terms")), 20).select("a", "b", F.round("score", 6).alias("score"))
 
 
 _V = "WITH " + V.SQL
