@@ -83,3 +83,22 @@ def test_hard_negatives_come_from_all_other_bugs(spark):
     assert set(found) == {i for i in bug if i % 50 == 0}
     assert all(len(v) == 20 and v <= set(bug) and bug[a] not in {bug[b] for b in v} for a, v in found.items())
     assert any(b < a for a, v in found.items() for b in v) and any(b > a + 9 for a, v in found.items() for b in v)
+
+
+@needs_tables
+def test_negatives_are_300_a_bug(spark):
+    pool = defaultdict(set)
+    for r in table(spark, D, "features").where("label = 0 and method_name is not null").collect():
+        pool[r.bug_id].add(r.method_name)
+    found = defaultdict(set)
+    for r in reference.negatives(spark, D).collect():
+        found[r.bug_id].add(r.method_name)
+    assert {k: len(v) for k, v in found.items()} == {k: min(300, len(v)) for k, v in pool.items()}
+    assert all(v <= pool[k] for k, v in found.items())
+
+
+def test_vocabulary_has_5000_terms(spark, tmp_path):
+    words = " ".join(f"w{i:04}" for i in range(5200))
+    spark.createDataFrame([(1, words), (2, "w5100 w5100")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {(r.doc_id, r.idx): r.n for r in reference.vocabulary_ids(spark, str(tmp_path)).collect()}
+    assert rows == {**{(1, i): 1 for i in range(5000)}, (1, 5000): 200, (2, 0): 1}

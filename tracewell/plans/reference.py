@@ -231,9 +231,9 @@ def collaborative(s: SparkSession, d: str) -> DataFrame:
 
 
 def negatives(s: SparkSession, d: str) -> DataFrame:
-    """Three candidate methods of every bug that it didn't fix, by hash."""
+    """300 candidate methods of every bug that it didn't fix, by hash; all of a smaller pool."""
     f = table(s, d, "features").where("label = 0 and method_name is not null").select("bug_id", "method_name").distinct()
-    return R.sample_by_hash(f, "bug_id", "method_name", 3)
+    return R.sample_by_hash(f, "bug_id", "method_name", 300)
 
 
 def oversampled(s: SparkSession, d: str) -> DataFrame:
@@ -251,11 +251,11 @@ def split_by_time(s: SparkSession, d: str) -> DataFrame:
 
 
 def vocabulary_ids(s: SparkSession, d: str) -> DataFrame:
-    """Terms of documents as indexes into the vocabulary of the 500 most frequent; others get its size."""
+    """Terms of documents as indexes into the vocabulary of the 5,000 most frequent; others get its size."""
     t = table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(terms(F.filter(F.split("text", " "), lambda w: w != "")))).alias("term"))
-    top = t.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "term").limit(500)
+    top = t.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "term").limit(5000)
     index = top.select("term", (F.row_number().over(Window.orderBy(F.col("n").desc(), "term")) - 1).alias("idx"))
-    return t.join(F.broadcast(index), "term", "left").groupBy("doc_id", F.coalesce("idx", F.lit(500)).alias("idx")).agg(F.count("*").alias("n"))
+    return t.join(F.broadcast(index), "term", "left").groupBy("doc_id", F.coalesce("idx", F.lit(5000)).alias("idx")).agg(F.count("*").alias("n"))
 
 
 def features_assembled(s: SparkSession, d: str) -> DataFrame:
