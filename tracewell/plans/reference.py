@@ -210,11 +210,14 @@ def best_neighbours(s: SparkSession, d: str) -> DataFrame:
 
 
 def expansion(s: SparkSession, d: str) -> DataFrame:
-    """Methods that a short method is expanded with: by call score and by the call graph, each once."""
-    calls = V.call_edges(s, d).select(F.col("src").alias("method_id"), F.col("dst").alias("neighbour"))
+    """Methods that a short method is expanded with: ten each by similarity, by call score and by the call graph, either direction, each once."""
+    links = G.undirected(V.method_links(s, d), "method1", "method2", "sim_score")
+    similar = R.top_scores(links.select(F.col("node").alias("query"), F.col("neighbour").alias("node"), F.col("sim_score").alias("score")), 10)
+    calls = G.undirected(V.call_edges(s, d), "src", "dst").distinct().withColumnRenamed("node", "method_id")
     w = Window.partitionBy("method_id").orderBy("neighbour")
     first = calls.withColumn("_r", F.row_number().over(w)).where("_r <= 10").drop("_r")
-    return best_neighbours(s, d).select("method_id", "neighbour").unionByName(first).distinct()
+    scored = best_neighbours(s, d).select("method_id", "neighbour").unionByName(similar.select(F.col("query").alias("method_id"), F.col("node").alias("neighbour")))
+    return scored.unionByName(first).distinct()
 
 
 def collaborative(s: SparkSession, d: str) -> DataFrame:

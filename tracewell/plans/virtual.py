@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import materialize, table
 
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +27,16 @@ def call_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.where("dst is not null and src <> dst").distinct()
 
 
+def method_links(spark: SparkSession, d: str) -> DataFrame:
+    """(method1, method2, sim_score): methods fixed by a common report, smaller first, with the Jaccard score of their report sets."""
+    f = materialize(report_methods(spark, d), "fixes")
+    n = f.groupBy("method_id").agg(F.count("*").alias("n"))
+    pairs = f.select("bug_id", F.col("method_id").alias("method1")).join(f.select("bug_id", F.col("method_id").alias("method2")), "bug_id").where("method1 < method2")
+    common = pairs.groupBy("method1", "method2").agg(F.count("*").alias("c"))
+    both = common.join(n.select(F.col("method_id").alias("method1"), F.col("n").alias("n1")), "method1").join(n.select(F.col("method_id").alias("method2"), F.col("n").alias("n2")), "method2")
+    return both.select("method1", "method2", (F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).alias("sim_score"))
+
+
 def versions(spark: SparkSession, d: str) -> DataFrame:
     """(version, day, commit_id): one version per day with events; the window holds one row per day."""
     days = table(spark, d, "events").select(F.to_date("ts").alias("day")).distinct()
