@@ -71,10 +71,11 @@ def diff_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def version_changes(s: SparkSession, d: str) -> DataFrame:
-    """Methods added, deleted or changed between the versions up to 20 and up to 30, by their newest source."""
-    v = table(s, d, "method_versions")
-    newest = lambda n: v.where(f"version <= {n} and op <> 'DELETE'").groupBy("method_id").agg(F.max(F.struct("version", F.coalesce("source_code", F.lit("")).alias("code")))["code"].alias("code"))
-    return D.item_changes(newest(20), newest(30).where("method_id % 9 <> 0"), ["method_id"], "code")
+    """Methods added, deleted or changed between the versions up to 20 and up to 30, by their newest row; one whose newest row is a DELETE is gone."""
+    v = table(s, d, "method_versions").withColumn("gone", F.coalesce(F.col("op") == "DELETE", F.lit(False)))
+    last = lambda n: v.where(f"version <= {n}").groupBy("method_id").agg(F.max(F.struct("version", "gone", F.coalesce("source_code", F.lit("")).alias("code"))).alias("_n"))
+    newest = lambda n: last(n).where("not _n.gone").select("method_id", "_n.code")
+    return D.item_changes(newest(20), newest(30), ["method_id"], "code")
 
 
 def code_outlines(s: SparkSession, d: str) -> DataFrame:
