@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,14 +21,99 @@ def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"(-?(?:0|[1-9][0-9]*))((?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+class _Digits:
+    """An integer of more digits than Python reads, as its text."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+
+def _simple(text: str, i: int) -> tuple:
+    """The string, number or word at ``i``, and the place after it."""
+    if text.startswith('"', i):
+        return scanstring(text, i + 1, True)
+    for word, value in _WORDS.items():
+        if text.startswith(word, i):
+            return value, i + len(word)
+    m = _NUMBER.match(text, i)
+    if m is None:
+        raise ValueError("no JSON value")
+    if m[2]:
+        return float(m[0]), m.end()
+    try:
+        return int(m[1]), m.end()
+    except ValueError:
+        return _Digits(m[1]), m.end()
+
+
+def _parsed_deep(text: str):
+    """What ``json.loads`` gives, without recursion and for integers of any length."""
+    after = lambda i: _SPACE.match(text, i).end()
+
+    def label(i: int) -> tuple[str, int]:
+        if not text.startswith('"', i):
+            raise ValueError("no field name")
+        name, i = scanstring(text, i + 1, True)
+        i = after(i)
+        if not text.startswith(":", i):
+            raise ValueError("no colon")
+        return name, after(i + 1)
+
+    open_, labels, i = [], [], after(0)
+    while True:
+        if text.startswith(("{", "["), i):
+            value, end = ({}, "}") if text[i] == "{" else ([], "]")
+            i = after(i + 1)
+            if not text.startswith(end, i):
+                open_.append(value)
+                labels.append(None)
+                if end == "}":
+                    labels[-1], i = label(i)
+                continue
+            i += 1
+        else:
+            value, i = _simple(text, i)
+        while True:
+            i = after(i)
+            if not open_:
+                if i < len(text):
+                    raise ValueError("more after the value")
+                return value
+            inside = open_[-1]
+            keyed = isinstance(inside, dict)
+            if keyed:
+                inside[labels[-1]] = value
+            else:
+                inside.append(value)
+            if text.startswith(",", i):
+                i = after(i + 1)
+                if keyed:
+                    labels[-1], i = label(i)
+                break
+            if not text.startswith("}" if keyed else "]", i):
+                raise ValueError("not closed")
+            value, i = open_.pop(), i + 1
+            labels.pop()
+
+
 def _parsed(text: str | None):
     """The value of a complete JSON text; None where it isn't one."""
     if text is None:
         return None
     try:
         return json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+    except json.JSONDecodeError:
         return None
+    except (ValueError, RecursionError):  # long integers, deep nesting
+        try:
+            return _parsed_deep(text)
+        except ValueError:
+            return None
 
 
 def _unwrapped(value, wrapper: str | None):
@@ -50,7 +137,7 @@ def _roots(text: str | None, wrapper: str | None) -> Iterator[tuple[int, dict]]:
 def _scalar(value) -> str | None:
     if value is None:
         return None
-    text = value if isinstance(value, str) else json.dumps(value)
+    text = value if isinstance(value, str) else value.text if isinstance(value, _Digits) else json.dumps(value)
     return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
 
 
