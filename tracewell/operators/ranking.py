@@ -41,19 +41,24 @@ def top_scores(scores: DataFrame, k: int = 50) -> DataFrame:
     return scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def linked_scores(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(query, node, score): for each (query, node) its neighbours with ``sim / degree`` of the link (node, neighbour, sim)."""
+    degree = links.groupBy("node").agg(F.count("*").alias("_deg"))
+    return nodes.select("query", "node").join(degree, "node").join(links, "node").select("query", F.col("neighbour").alias("node"), (F.col("sim") / F.col("_deg")).alias("score"))
+
+
 def collaborative(seeds: DataFrame, commit_links: DataFrame, fixed: DataFrame, method_links: DataFrame, k: int = 50) -> DataFrame:
     """(query, method_id, cfs): collaborative-filtering scores of methods for each query report.
 
-    ``seeds``: (query, node, score), the similarity of a query to earlier reports. The best ``k`` deal their score to linked
-    reports, the best ``k`` of which join in; every report deals its score to the methods that it fixed (node, method_id);
-    then each scored method adds ``sim / degree`` to its own neighbours (node, neighbour, sim), once.
+    ``seeds``: (query, node, score), the similarity of a query to earlier reports. The best ``k`` add ``sim / degree`` to the reports linked
+    with them (node, neighbour, sim), the best ``k`` of which join in, but never the query itself; every report deals its score to the
+    methods that it fixed (node, method_id); then each scored method adds ``sim / degree`` to its own neighbours (node, neighbour, sim), once.
     """
     best = top_scores(seeds, k)
-    spread = shared_scores(best, commit_links).withColumnRenamed("neighbour", "node")
-    reports = best.unionByName(top_scores(spread.select("query", "node", "score"), k)).groupBy("query", "node").agg(F.sum("score").alias("score"))
+    spread = linked_scores(best, commit_links).groupBy("query", "node").agg(F.round(F.sum("score"), 12).alias("score"))
+    reports = best.unionByName(top_scores(spread, k)).where("query <> node").groupBy("query", "node").agg(F.sum("score").alias("score"))
     methods = shared_scores(reports, fixed.select("node", F.col("method_id").alias("neighbour"))).withColumnRenamed("neighbour", "node")
-    degree = method_links.groupBy("node").agg(F.count("*").alias("_deg"))
-    more = methods.select("query", "node").join(degree, "node").join(method_links, "node").select("query", F.col("neighbour").alias("node"), (F.col("sim") / F.col("_deg")).alias("score"))
+    more = linked_scores(methods, method_links)
     return methods.unionByName(more).groupBy("query", F.col("node").alias("method_id")).agg(F.sum("score").alias("cfs"))
 
 

@@ -221,15 +221,17 @@ def expansion(s: SparkSession, d: str) -> DataFrame:
 
 
 def collaborative(s: SparkSession, d: str) -> DataFrame:
-    """Collaborative-filtering scores for the orders divisible by 50; seeds are orders of the same customer, by price."""
+    """Collaborative-filtering scores for the orders divisible by 50; seeds are orders of the same customer, by price.
+
+    Reports are linked by common methods and methods by common reports, both undirected, with their Jaccard scores.
+    """
     o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     q = o.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("query"), "o_custkey")
-    seeds = q.join(o, "o_custkey").where("query <> o_orderkey").select("query", F.col("o_orderkey").alias("node"), F.round(F.col("o_totalprice") / 1e6, 3).alias("score"))
+    seeds = materialize(q.join(o, "o_custkey").where("query <> o_orderkey").select("query", F.col("o_orderkey").alias("node"), F.round(F.col("o_totalprice") / 1e6, 3).alias("score")), "seeds")
     fixed = V.report_methods(s, d)
-    links = o.select(F.col("o_orderkey").alias("node"), (F.col("o_orderkey") + 1).alias("neighbour"))
-    e = V.call_edges(s, d)
-    both = G.undirected(e.select("src", "dst", F.lit(0.5).alias("sim")), "src", "dst", "sim")
-    out = R.collaborative(seeds, links, fixed.select(F.col("bug_id").alias("node"), "method_id"), both.distinct())
+    links = materialize(V.report_links(s, d, seeds), "links")
+    both = materialize(G.undirected(V.method_links(s, d).withColumnRenamed("sim_score", "sim"), "method1", "method2", "sim"), "similar")
+    out = R.collaborative(seeds, links, fixed.select(F.col("bug_id").alias("node"), "method_id"), both)
     return out.select("query", "method_id", F.round(F.col("cfs") + 1e-9, 6).alias("cfs"))  # exact halves round alike whatever the order of summing
 
 
