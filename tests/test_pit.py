@@ -11,7 +11,7 @@ EVENTS, CHANGES = "entity bigint, at bigint, note string", "entity bigint, known
 
 def run(spark, events, changes, **kw):
     c = spark.createDataFrame(changes, CHANGES).select("entity", "known", F.when(F.col("since").isNotNull(), F.struct("since", "version")).alias("state"))
-    rows = known_at(spark.createDataFrame(events, EVENTS), c, F.lit(10_000), base_width=1000, **kw).collect()
+    rows = known_at(spark.createDataFrame(events, EVENTS), c, base_width=1000, **kw).collect()
     return sorted(((r.entity, r.at, r.note, None if r.state is None else (r.state.since, r.state.version)) for r in rows if r.entity is not None), key=str)
 
 
@@ -49,3 +49,16 @@ def test_any_changes(changes):
     spark = SparkSession.getActiveSession()
     events = [(e, t, "x") for e in (1, 2) for t in (0, 999, 1000, 1001, 2500, 9999)]
     assert run(spark, events, changes, per_bucket=2) == brute(events, changes)
+
+
+def test_far_dates_and_hot_keys(spark):
+    far = 250_000_000
+    changes = [(e, 10 * e, e, 1) for e in range(50)] + [(1, far, 9, 9)]
+    events = [(e, t, "x") for e in range(50) for t in (5, 900, far // 2, far + 5)] + [(1, 950, str(i)) for i in range(400)] + [(7, 100, "same")] * 300
+    assert run(spark, events, changes, hot_share=10) == brute(events, changes)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    c = spark.createDataFrame([(1, 5, 1)], "entity bigint, known bigint, v int").select("entity", "known", F.struct("v").alias("state"), F.lit(1).alias("width"))
+    e = spark.createDataFrame([(1, 9, "a", 3, None)], "entity bigint, at bigint, width string, bucket int, since string")
+    assert [tuple(r) for r in known_at(e, c).collect()] == [(1, 9, "a", 3, None, (1,))]

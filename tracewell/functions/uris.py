@@ -6,31 +6,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The characters that count as blanks in a URI.
+BLANKS = " \t\n\x0b\f\r"
+
+
+def _bare(uri: Column) -> Column:
+    """A URI without blanks and without a trailing ``#number``; the pattern runs only where there is a ``#``."""
+    s = F.translate(uri, BLANKS, "")
+    return F.when(F.contains(s, F.lit("#")), F.regexp_replace(s, r"#\d+$", "")).otherwise(s)
+
+
+def _canonical(bare: Column) -> Column:
+    head = F.substring_index(bare, "(", 1)
+    tail = F.substring(bare, F.length(head) + 1, F.length(bare))
+    return F.concat(F.translate(head, "/", "."), F.when(F.contains(tail, F.lit(".")), F.regexp_replace(tail, r"[^(),]*\.", "")).otherwise(tail))
+
+
 def canonical_uri(uri: Column) -> Column:
     """The form in which two spellings of a method URI are compared.
 
     Blanks and a trailing ``#number`` go, ``/`` before the parameter list reads as ``.``, and each parameter
     type keeps only what follows its last ``.``.
     """
-    s = F.regexp_replace(F.regexp_replace(uri, r"\s+", ""), r"#\d+$", "")
-    at = F.locate("(", s)
-    head = F.translate(F.when(at > 0, F.substring(s, F.lit(1), at - 1)).otherwise(s), "/", ".")
-    tail = F.when(at > 0, F.substring(s, at, F.length(s))).otherwise("")
-    return F.concat(head, F.regexp_replace(tail, r"[^(),]*\.", ""))
+    return F.transform(F.array(_bare(uri)), _canonical)[0]  # the array binds the bare form, so that it is made once
 
 
 def method_list(literal: Column) -> Column:
     """Canonical URIs of a list literal (either quote, odd blanks, repeats), each once; none for other text."""
     quoted = F.regexp_extract_all(literal, F.lit(r"'([^']*)'|\"([^\"]*)\""), F.lit(0))
-    inner = F.transform(F.coalesce(quoted, F.array().cast("array<string>")), lambda q: canonical_uri(q.substr(F.lit(2), F.length(q) - 2)))
-    return F.array_distinct(F.filter(inner, lambda u: u != ""))
+    bare = F.transform(F.coalesce(quoted, F.array().cast("array<string>")), lambda q: _bare(F.substring(q, F.lit(2), F.length(q) - 2)))
+    return F.array_distinct(F.transform(F.filter(bare, lambda u: u != ""), _canonical))
 
 
-def strip_generics(signature: Column, depth: int = 4) -> Column:
-    """A signature without type arguments in angle brackets, nested up to ``depth`` deep."""
-    for _ in range(depth):
-        signature = F.regexp_replace(signature, r"<[^<>]*>", "")
-    return signature
+def strip_generics(signature: Column) -> Column:
+    """A signature without type arguments in angle brackets, however deep; brackets without a partner stay."""
+    n = F.length(signature) - F.length(F.translate(signature, "<", ""))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), signature, lambda s, _: F.regexp_replace(s, r"<[^<>]*>", ""))).otherwise(signature)
 
 
 def rooted(path: Column, prefix: str = "", drop: str = "") -> Column:

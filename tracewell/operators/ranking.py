@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import range_sums
+
 
 def month_distance(a: Column, b: Column) -> Column:
     """Calendar months between two times, whatever their days."""
@@ -85,12 +87,13 @@ def min_max(rows: DataFrame, columns: list[str]) -> DataFrame:
 def split_by_time(rows: DataFrame, ratio: float, time: str, key: str) -> DataFrame:
     """``split`` = train for the first ``int(n * ratio)`` rows by (time, key), test for the rest; equal times by key.
 
-    Ranks come from counts per time, so no task sorts all rows: the window holds one row per distinct time.
+    Ranks come from counts per time, summed by ranges of time, so no task sorts all rows or all times.
     """
     per = rows.groupBy(time).agg(F.count("*").alias("_c"))
-    before = per.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = range_sums(per, [], [F.col(time).asc()], {"_before": "_c"})
     total = rows.agg(F.floor(F.count("*") * F.lit(ratio)).alias("_cut"))
-    placed = rows.join(before.drop("_c"), time).join(F.broadcast(total)).withColumn("_n", F.col("_before") + F.row_number().over(Window.partitionBy(time).orderBy(key)))
+    placed = rows.join(before.drop("_c"), rows[time].eqNullSafe(before[time])).drop(before[time]).join(F.broadcast(total))
+    placed = placed.withColumn("_n", F.col("_before") + F.row_number().over(Window.partitionBy(time).orderBy(key)))
     return placed.withColumn("split", F.when(F.col("_n") <= F.col("_cut"), "train").otherwise("test")).select(*rows.columns, "split")
 
 
@@ -114,11 +117,10 @@ def metrics(rows: DataFrame, group: str, score: str, label: str, tie: str, ks: t
 def visible_history(reports: DataFrame) -> DataFrame:
     """(bug_id, n_visible) of (bug_id, commit_time, split): the strictly earlier reports a report may learn from.
 
-    Training reports see training reports only, test reports see all. Counted from one row per time and split.
+    Training reports see training reports only, test reports see all. Counted from one row per time and split, summed by ranges of time.
     """
-    per = reports.groupBy("commit_time").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("n_train"))
-    w = Window.orderBy("commit_time").rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select("commit_time", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in ("n", "n_train")])
+    per = reports.groupBy("commit_time").agg(F.count("*").alias("_n"), F.count_if(F.col("split") == "train").alias("_n_train"))
+    before = range_sums(per, [], [F.col("commit_time").asc()], {"n": "_n", "n_train": "_n_train"})
     return reports.join(before, "commit_time").select("bug_id", F.when(F.col("split") == "train", F.col("n_train")).otherwise(F.col("n")).alias("n_visible"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_time, micros
-from ..operators.current import current_rows, id_aliases, report_methods
+from ..operators.current import canonical_map, current_rows, id_aliases, report_methods
 from ..operators.pit import known_at
 from ..operators.shred import entity, objects, shred
 from ..session import materialize, table
@@ -25,9 +25,8 @@ def versions_at_report(spark: SparkSession, d: str) -> DataFrame:
     """(bug_id, at, entity, state): each report's methods with the version valid and known at its time."""
     reports = current_rows(table(spark, d, "bug_reports"), ["bug_id"], ["loaded_at", "row_id"], ["loaded_at", "row_id", "commit_time", "method"])
     timed = reports.withColumn("at", micros(clean_time(F.col("commit_time")))).where("at is not null")
-    mapped = table(spark, d, "method_map")
+    mapped = canonical_map(table(spark, d, "method_map"))
     events = materialize(report_methods(timed, mapped, ["bug_id", "at"]).withColumnRenamed("method_id", "entity"), "events")
-    until = events.agg(F.max("at")).first()[0] or 0
     v = table(spark, d, "method_versions").withColumnRenamed("method_id", "id").join(id_aliases(mapped), "id")
     taken = micros(F.col("commit_time"))
     changes = v.select(
@@ -35,7 +34,7 @@ def versions_at_report(spark: SparkSession, d: str) -> DataFrame:
         F.greatest(taken, F.coalesce(micros(F.col("known_at")), taken)).alias("known"),
         F.struct(taken.alias("since"), "version", "op", "label", "commit_id").alias("state"),
     )
-    return known_at(events, changes, F.lit(until))
+    return known_at(events, changes)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -27,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``. Where the session names none: a temporary one for a local master, an error
+    for a cluster, as its executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tracewell-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
