@@ -3,11 +3,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tracewell.llm.cooccurrence import cooccurrence
+from tracewell.llm.cooccurrence import _product, _Rows, _tiles, cooccurrence
 from tracewell.llm.crosssplit import _bands, cross_links, cross_pairs, like_sets
 from tracewell.llm.distinctive import term_scores
+from tracewell.session import materialize
 
 
 def pairs_of(baskets, min_count, min_ratio):
@@ -29,6 +31,24 @@ def test_cooccurrence_against_brute_force(spark):
         assert got == pairs_of(baskets, count, ratio) and (ratio == 2.0 or got)
 
 
+def test_products_of_sparse_and_dense_blocks():
+    rng = np.random.default_rng(1)
+    for share in (0.02, 0.5):
+        x, y = (rng.random((2, 40, 30)) < share).astype(int)
+        rows = [_Rows(np.nonzero(m)[1], np.concatenate([[0], np.cumsum(m.sum(1))])) for m in (x, y)]
+        code, n = _product(*rows, 30)
+        want = (x.T @ y).ravel()
+        assert code.tolist() == np.flatnonzero(want).tolist() and n.tolist() == want[want > 0].tolist()
+
+
+def test_one_large_record_is_spread_over_tasks(spark):
+    record = materialize(spark.range(3000).select(F.lit(1).alias("record"), F.col("id").alias("item")))
+    tiles = _tiles(record, 100, 8)
+    per_task = [r["count"] for r in tiles.groupBy(F.spark_partition_id()).count().collect()]
+    assert tiles.count() == 30 * 31 / 2 and len(per_task) >= 8 and max(per_task) < 150
+    assert cooccurrence(record.withColumn("record", F.explode(F.array(F.lit(1), F.lit(2)))), "record", "item", 2, 0.0, 100).count() == 3000 * 2999 / 2
+
+
 def test_cooccurrence_counts_and_empty(spark):
     rows = [(i, x) for i in range(8) for x in (1, 2)] + [(i, 3) for i in range(8, 200)]
     r = cooccurrence(spark.createDataFrame(rows, "r bigint, i bigint"), "r", "i").first()

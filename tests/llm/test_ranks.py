@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm.ideal_point import closeness, places, ranking
-from tracewell.llm.topn import top_n
+from tracewell.llm.topn import split_heavy, top_n
 
 SCORE = "g bigint, item string, a double, b double, c double"
 
@@ -69,3 +69,17 @@ def test_top_n(spark, heavy):
     assert top_n(df.limit(0), ["g"], [F.col("s")], 4).count() == 0
     with pytest.raises(ValueError):
         top_n(df.withColumn("rnk", F.lit(1)), ["g"], [F.col("s")], 4)
+
+
+@pytest.mark.parametrize(("heavy", "limit"), [(100, 100_000), (100, 0)])
+def test_vector_scale_of_heavy_groups_is_that_of_light_ones(spark, heavy, limit):
+    df = spark.createDataFrame([*rows(), (None, "n", 1.0, 1.0, 1.0)], SCORE).cache()
+    of = lambda **k: {(r.g, r["item"]): r.closeness for r in closeness(df, "g", "item", ["a", "b", "c"], **k).collect()}
+    light = of()
+    assert len(light) == 400 and of(heavy_rows=heavy, limit=limit) == pytest.approx(light, abs=1e-12)
+
+
+def test_many_heavy_groups_are_joined_by_salts(spark):
+    df = spark.createDataFrame([(i % 5, f"m{i:04}") for i in range(1000)] + [(None, "n")], "g int, m string").cache()
+    heavy, light = split_heavy(df, ["g"], 100, 0)
+    assert sorted(r.m for r in heavy.collect()) == [f"m{i:04}" for i in range(1000)] and [r.m for r in light.collect()] == ["n"]

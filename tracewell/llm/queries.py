@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_kind, terms
-from ..operators.current import current_rows, id_aliases, report_methods
+from ..operators.current import canonical_map, current_rows, id_aliases, report_methods
 from ..session import materialize, table
 from .cooccurrence import cooccurrence
 from .crosssplit import cross_pairs
@@ -26,7 +26,7 @@ __all__ = ["QUERIES", "SQL"]
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of methods in at least 8 common reports and 15 times as many as by chance, with their greatest call score."""
-    mapped = table(spark, d, "method_map")
+    mapped = canonical_map(table(spark, d, "method_map"))
     reports = current_rows(table(spark, d, "bug_reports"), ["bug_id"], ["loaded_at", "row_id"], ["loaded_at", "row_id", "method"])
     pairs = cooccurrence(report_methods(reports, mapped, ["bug_id"]), "bug_id", "method_id")
     ids = materialize(id_aliases(mapped), "ids")
@@ -79,10 +79,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """The whole ranking of each bug by winsorised, vector-normalised scores."""
+    """The whole ranking of each bug by winsorised, vector-normalised scores; closeness to nine decimals, equals by name."""
     scores = materialize(current_scores(spark, d, ["bfr", "brr", "cfs"]), "scores")
-    close = materialize(closeness(scores, "bug_id", "method_name", ["bfr", "brr", "cfs"]), "close")
-    return ranking(close, "bug_id", [F.col("closeness").desc(), F.col("method_name").desc()])
+    close = closeness(scores, "bug_id", "method_name", ["bfr", "brr", "cfs"])
+    stored = materialize(close.withColumn("closeness", F.round("closeness", 9)), "close")
+    return ranking(stored, "bug_id", [F.col("closeness").desc(), F.col("method_name").desc()])
 
 
 # 6. top N items within every group

@@ -69,6 +69,15 @@ SQL = {
    + CASE WHEN r IS NULL THEN n + 1 ELSE rank() OVER (PARTITION BY bug_id ORDER BY r DESC NULLS LAST) END
    + CASE WHEN c IS NULL THEN n + 1 ELSE rank() OVER (PARTITION BY bug_id ORDER BY c DESC NULLS LAST) END AS places FROM s)
  SELECT bug_id, rnk, method_name FROM (SELECT bug_id, method_name, CAST(row_number() OVER (PARTITION BY bug_id ORDER BY places, method_name DESC) AS INTEGER) AS rnk FROM p) q WHERE rnk <= 3""",
+    "p4_ranking": _FEATURES
+    + """, s AS (SELECT bug_id, method_name, k, CASE WHEN v >= 0 AND NOT isnan(v) THEN v END AS v FROM (SELECT bug_id, method_name, unnest(['b', 'r', 'c']) AS k, unnest([bfr, brr, cfs]) AS v FROM cur) q),
+ o AS (SELECT *, row_number() OVER (PARTITION BY bug_id, k ORDER BY v NULLS LAST) AS rn, count(v) OVER (PARTITION BY bug_id, k) AS n FROM s),
+ q AS (SELECT bug_id, k, max(v) FILTER (WHERE rn = greatest(1, ceil(n * CAST(0.01 AS DOUBLE)))) AS lo, max(v) FILTER (WHERE rn = greatest(1, ceil(n * CAST(0.99 AS DOUBLE)))) AS hi FROM o GROUP BY ALL),
+ x AS (SELECT bug_id, method_name, k, coalesce(CASE WHEN v IS NOT NULL THEN greatest(least(v, hi), lo) END, lo, 0) AS x FROM s JOIN q USING (bug_id, k)),
+ e AS (SELECT bug_id, k, sqrt(sum(x * x)) AS norm, max(x) AS hi, min(x) AS lo FROM x GROUP BY ALL),
+ d AS (SELECT bug_id, method_name, sqrt(sum(CASE WHEN norm > 0 THEN power((x - hi) / norm, 2) ELSE 0 END)) AS up, sqrt(sum(CASE WHEN norm > 0 THEN power((x - lo) / norm, 2) ELSE 0 END)) AS down FROM x JOIN e USING (bug_id, k) GROUP BY ALL),
+ c AS (SELECT bug_id, method_name, round(CASE WHEN up + down > 0 THEN down / (up + down) ELSE 0.5 END, 9) AS closeness FROM d)
+ SELECT bug_id, method_name, closeness, row_number() OVER (PARTITION BY bug_id ORDER BY closeness DESC, method_name DESC) AS rnk FROM c""",
     "p6_found": _TOP + " SELECT bug_id, rnk, method_name FROM top WHERE rnk <= 5",
     "p6_top": _TOP + " SELECT * FROM top WHERE rnk <= 5",
     "p7_found": _CROSS + " SELECT least(tr, er) AS row_id_a, greatest(tr, er) AS row_id_b FROM links",

@@ -5,26 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A group is heavy from this many rows on, and only if it holds more than one in HEAVY_SHARE of all rows.
+from ..session import materialize
+
+#: A group is heavy from this many rows on, whatever the size of the table.
 HEAVY_ROWS = 50_000
-HEAVY_SHARE = 10_000
+#: Heavy groups that are broadcast at most; beyond that they are joined through salts.
+BROADCAST_GROUPS = 100_000
+_SALTS = 32
 
 
 def heavy_groups(df: DataFrame, group: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """The groups with at least ``heavy_rows`` rows and more than one row in HEAVY_SHARE of all, by exact counts.
+    """The groups with at least ``heavy_rows`` rows, by exact counts; every other group is small enough for one task."""
+    counts = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") >= heavy_rows)
+    return materialize(counts.dropna(subset=group).select(*group), "heavy")
+
+
+def join_heavy(df: DataFrame, heavy: DataFrame, group: list[str], how: str, limit: int = BROADCAST_GROUPS) -> DataFrame:
+    """``df`` joined with one row per heavy group (``heavy``, stored): left, semi or anti.
 
-    There are fewer than HEAVY_SHARE of them in any table, so they can be broadcast; every other group is small enough
-    for one task.
+    Up to ``limit`` heavy groups are broadcast. More are joined by (group, salt), every heavy group standing in all salts, so that no group
+    with many rows is one key.
     """
-    counts = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    total = df.count()
-    return counts.where(F.col("_n") >= max(heavy_rows, total // HEAVY_SHARE + 1)).select(*group)
+    if heavy.count() <= limit:
+        return df.join(F.broadcast(heavy), group, how)
+    salted = heavy.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    dealt = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int"))
+    return dealt.join(salted, [*group, "_salt"], how).drop("_salt")
 
 
-def split_heavy(df: DataFrame, group: list[str], heavy_rows: int = HEAVY_ROWS) -> tuple[DataFrame, DataFrame]:
+def split_heavy(df: DataFrame, group: list[str], heavy_rows: int = HEAVY_ROWS, limit: int = BROADCAST_GROUPS) -> tuple[DataFrame, DataFrame]:
     """(rows of heavy groups, rows of light groups). Rows with a null group count as light."""
-    heavy = F.broadcast(heavy_groups(df, group, heavy_rows))
-    return df.join(heavy, group, "left_semi"), df.join(heavy, group, "left_anti")
+    heavy = heavy_groups(df, group, heavy_rows)
+    return join_heavy(df, heavy, group, "left_semi", limit), join_heavy(df, heavy, group, "left_anti", limit)
 
 
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rnk", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
