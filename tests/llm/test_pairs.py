@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracewell.llm.cooccurrence import _product, _Rows, _tiles, cooccurrence
-from tracewell.llm.crosssplit import _bands, cross_links, cross_pairs, like_sets
+from tracewell.llm.crosssplit import _bands, cross_links, cross_pairs, cross_rows, like_sets
 from tracewell.llm.distinctive import term_scores
 from tracewell.session import materialize
 
@@ -94,7 +94,7 @@ def test_like_sets_lose_no_pair(spark):
 
 
 def test_ranges_hold_all_like_sizes():
-    bands = _bands(5000)
+    bands = _bands(largest=5000)
     at = lambda n: next(i for i, (a, b) in enumerate(bands) if a <= n <= b)
     assert all(at(b) - at(a) <= 1 for a in range(8, 1000) for b in range(a, a * 5 // 4 + 1))
 
@@ -106,7 +106,7 @@ def test_cross_pairs(spark):
         (8, None, "test", words), (9, 7, "train", words), (10, None, "train", None),
     ]
     df = spark.createDataFrame(rows, "row_id bigint, bug_id bigint, side string, terms array<string>").withColumn("class_id", F.lit(0))
-    got = {(r.row_id_a, r.row_id_b, r.same_bug) for r in cross_pairs(df).collect()}
+    got = {(r.row_id_a, r.row_id_b, r.same_bug) for r in cross_pairs(df, short_copies=False).collect()}
     like = {(1, 3), (3, 9)} if 9 / 11 >= 0.8 else set()
     assert {(a, b) for a, b, _ in got} == {(1, 2), (1, 8), (2, 9), (8, 9), (1, 4), *like}
     assert {(a, b) for a, b, s in got if s} == {(1, 4)}
@@ -114,3 +114,23 @@ def test_cross_pairs(spark):
     members, links = cross_links(df)
     assert {r.class_id for r in members.collect() if r.row_id in (1, 2, 8, 9)} == {1}
     assert (1, 1) in {(r.train_class, r.eval_class) for r in links.collect()}
+
+
+def test_short_copies_and_other_similarities(spark):
+    rows = [(1, 1, "train", ["a", "b"]), (2, 2, "test", ["b", "a", "a"]), (3, 3, "test", ["a"]), (4, 4, "train", []), (5, 5, "test", None), (6, 6, "train", list("abcdef")), (7, 7, "valid", list("abcxyz")), (8, 6, "test", ["q"])]
+    df = spark.createDataFrame(rows, "row_id bigint, bug_id bigint, side string, terms array<string>").withColumn("n", F.lit(1))
+    assert {(r.row_id_a, r.row_id_b) for r in cross_pairs(df).collect()} == {(1, 2), (6, 8)}
+    assert {(r.row_id_a, r.row_id_b) for r in cross_pairs(df, short_copies=False).collect()} == {(6, 8)}
+    half = {(r.row_id_a, r.row_id_b) for r in cross_pairs(df, min_terms=1, similarity=0.33).collect()}
+    assert half == {(1, 2), (1, 3), (1, 7), (2, 6), (6, 7), (6, 8)}
+    found = {r.row_id: (r.class_id, r.n_terms, r.n_links, r.n_long_links, r.same_bug) for r in cross_rows(df).collect()}
+    assert found == {1: (1, 2, 1, 0, False), 2: (1, 2, 1, 0, False), 3: (3, 1, 0, 0, False), 4: (None, 0, 0, 0, False), 5: (None, 0, 0, 0, False), 6: (6, 6, 0, 0, True), 7: (7, 6, 0, 0, False), 8: (8, 1, 0, 0, True)}
+
+
+def test_like_sets_at_other_similarities_lose_no_pair(spark):
+    rng = random.Random(8)
+    sets = [{f"w{rng.randint(0, 12)}" for _ in range(rng.randint(1, 12))} for _ in range(120)]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id bigint, t array<string>").select("id", F.transform("t", lambda t: F.xxhash64(t)).alias("h"))
+    for least, s in ((1, 0.5), (3, 0.65), (1, 1.0)):
+        got = {(r.left_id, r.right_id) for r in like_sets(df.where(f"id % 2 = 0 and size(h) >= {least}"), df.where(f"id % 2 = 1 and size(h) >= {least}"), least, s).collect()}
+        assert got == {(i, j) for i in range(0, 120, 2) for j in range(1, 120, 2) if min(len(sets[i]), len(sets[j])) >= least and len(sets[i] & sets[j]) >= s * len(sets[i] | sets[j])}

@@ -9,7 +9,7 @@ from ..functions.text import split_kind, terms
 from ..operators.current import canonical_map, current_rows, id_aliases, report_methods
 from ..session import materialize, table
 from .cooccurrence import cooccurrence
-from .crosssplit import cross_pairs
+from .crosssplit import cross_pairs, cross_rows
 from .distinctive import term_scores
 from .ideal_point import closeness, ranking
 from .packing import pack
@@ -108,17 +108,23 @@ def sided_reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return cross_pairs(sided_reports(spark, d)).select("row_id_a", "row_id_b")
+    """Pairs as defined: the same bug_id, or alike with at least eight terms each."""
+    return cross_pairs(sided_reports(spark, d), short_copies=False).select("row_id_a", "row_id_b")
 
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluation rows that also stand in training, per split and source: all, and those with the same bug_id."""
-    pairs = cross_pairs(sided_reports(spark, d))
-    rows = pairs.select(F.explode(F.array("row_id_a", "row_id_b")).alias("row_id"), "same_bug").groupBy("row_id").agg(F.max("same_bug").alias("same_bug"))
-    named = sided_reports(spark, d).where("side <> 'train'").select("row_id", "side", "source").join(rows, "row_id")
+    """Evaluation rows that also stand in training, as p7_found defines it, per split and source: all, and those with the same bug_id."""
+    reports = sided_reports(spark, d)
+    overlap = cross_rows(reports).where("side <> 'train' and (same_bug or n_long_links > 0)").select("row_id", "same_bug")
+    named = reports.select("row_id", "side", "source").join(overlap, "row_id")
     return named.groupBy(F.col("side").alias("split"), "source").agg(F.count("*").alias("n_rows"), F.count_if("same_bug").alias("n_same_bug"))
 
 
+def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of a split with the class of its equal rows and the number of classes of the other side that it is linked with."""
+    return cross_rows(sided_reports(spark, d)).select("row_id", F.col("side").alias("split"), "class_id", "n_terms", "n_links", "n_long_links", "same_bug")
+
+
 # 8. encoding of the whole corpus
 
 
@@ -152,6 +158,7 @@ QUERIES = {
     "p6_top": p6_top,
     "p7_found": p7_found,
     "p7_counts": p7_counts,
+    "p7_overlaps": p7_overlaps,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p10_pieces": p10_pieces,

@@ -84,4 +84,15 @@ SQL = {
     "p7_counts": _CROSS
     + """ SELECT side AS split, source, count(*) AS n_rows, count(*) FILTER (WHERE same_bug) AS n_same_bug
   FROM (SELECT er, max(same_bug) AS same_bug FROM links GROUP BY er) q JOIN r ON r.row_id = er GROUP BY ALL""",
+    "p7_overlaps": """
+WITH r AS (SELECT row_id, bug_id, list_sort(list_distinct(list_transform(coalesce(report, []), lambda x: lower(x)))) AS ts,
+   CASE lower(trim(split)) WHEN 'train' THEN 'train' WHEN 'valid' THEN 'valid' WHEN 'validation' THEN 'valid' WHEN 'dev' THEN 'valid' WHEN 'test' THEN 'test' END AS side FROM bug_reports),
+ c AS (SELECT ts, min(row_id) AS id, len(ts) AS n, bool_or(side = 'train') AS tr, bool_or(side <> 'train') AS ev FROM r WHERE side IS NOT NULL AND len(ts) > 0 GROUP BY ts),
+ w AS (SELECT id, n, tr, ev, unnest(ts) AS term FROM c WHERE n >= 8),
+ l AS (SELECT a.id AS t, b.id AS e, true AS long FROM w a JOIN w b ON a.term = b.term AND a.tr AND b.ev GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 5 >= (a.n + b.n - count(*)) * 4
+  UNION ALL SELECT id, id, false FROM c WHERE n < 8 AND tr AND ev),
+ k AS (SELECT t AS id, true AS train, count(*) AS n_links, count(*) FILTER (WHERE long) AS n_long_links FROM l GROUP BY t UNION ALL SELECT e, false, count(*), count(*) FILTER (WHERE long) FROM l GROUP BY e),
+ b AS (SELECT bug_id, bool_or(side = 'train') AS tr, bool_or(side <> 'train') AS ev FROM r WHERE side IS NOT NULL AND bug_id IS NOT NULL GROUP BY bug_id)
+ SELECT row_id, side AS split, c.id AS class_id, coalesce(c.n, 0) AS n_terms, coalesce(n_links, 0) AS n_links, coalesce(n_long_links, 0) AS n_long_links, coalesce(CASE WHEN side = 'train' THEN b.ev ELSE b.tr END, false) AS same_bug
+ FROM r LEFT JOIN c ON c.ts = r.ts LEFT JOIN k ON k.id = c.id AND k.train = (side = 'train') LEFT JOIN b ON b.bug_id = r.bug_id WHERE side IS NOT NULL""",
 }
