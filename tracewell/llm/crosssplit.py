@@ -12,6 +12,8 @@ from ..session import materialize
 #: Least number of distinct terms of a record that is compared for likeness, and least share of common terms.
 MIN_TERMS = 8
 SIMILARITY = 0.8
+#: Candidate pairs up to which their ids are broadcast (8 bytes each); beyond that all sets are shuffled by id.
+BROADCAST_IDS = 2_000_000
 
 
 def _share(similarity: float) -> tuple[int, int]:
@@ -69,12 +71,13 @@ def like_sets(left: DataFrame, right: DataFrame, min_terms: int = MIN_TERMS, sim
     ``h`` holds 64-bit hashes of the distinct terms, at least ``min_terms`` of them; ids are unique in each input. Exact on
     the hashes: candidates come from the signatures above, which lose no pair, and are verified.
     A pair meets only where a part of both agrees but for one term, so candidates stay few for common terms too;
-    the bit sketch (a bit for each of 31 classes of terms that occur) and the sizes discard most of the rest inside the join.
+    the bit sketch (a bit for each of 64 classes of terms that occur) and the sizes discard most of the rest inside the join. Only sets
+    that are in a candidate pair are shuffled for verification, as long as their ids (at most BROADCAST_IDS) can be broadcast.
     """
     p, q = _share(similarity)
 
     def prepared(sets: DataFrame, name: str) -> DataFrame:
-        bit = F.aggregate("h", F.lit(0), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1), F.pmod(h, F.lit(31)).cast("int"))))
+        bit = F.aggregate("h", F.lit(0).cast("bigint"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(63).cast("int"))))
         sized = sets.select("id", F.size("h").alias("n"), bit.alias("bits"), "h")
         return _signatures(sized, min_terms, similarity).select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "bits", "meta")], "key")
 
@@ -84,8 +87,14 @@ def like_sets(left: DataFrame, right: DataFrame, min_terms: int = MIN_TERMS, sim
     cuts = F.col("l_meta").bitwiseAND(F.col("r_meta")).bitwiseAND(1) == 0  # one whole at least
     apart = F.bit_count(F.col("l_bits").bitwiseXOR(F.col("r_bits"))) * (q + p) <= (ln + rn) * (q - p)
     near = flags & cuts & apart & (F.least(ln, rn) * q >= F.greatest(ln, rn) * p)
-    candidates = a.join(b, (a["key"] == b["key"]) & near).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")).distinct()
-    sized = candidates.join(left.select(F.col("id").alias("left_id"), F.col("h").alias("_a")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("h").alias("_b")), "right_id")
+    candidates = materialize(a.join(b, (a["key"] == b["key"]) & near).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")).distinct(), "candidates")
+    few = candidates.count() <= BROADCAST_IDS
+
+    def asked(sets: DataFrame, name: str, to: str) -> DataFrame:
+        named = sets.select(F.col("id").alias(name), F.col("h").alias(to))
+        return named.join(F.broadcast(candidates.select(name).distinct()), name, "left_semi") if few else named
+
+    sized = candidates.join(asked(left, "left_id", "_a"), "left_id").join(asked(right, "right_id", "_b"), "right_id")
     common = F.size(F.array_intersect("_a", "_b")).cast("bigint")
     return sized.where(common * q >= (F.size("_a") + F.size("_b") - common) * p).select("left_id", "right_id")
 
