@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.prefix import range_sums
 from ..session import materialize
@@ -160,7 +161,7 @@ def sharded(items: DataFrame, n: int, idf, mean: float, shard_items: int) -> Dat
             part = (v @ centres.value.T).argmax(1) * within + top * 2_654_435_761 % 4_294_967_296 % within
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int64())], names=[*columns, "_part"])
 
-    known = materialize(items.mapInArrow(placed, items.schema.add("_part", "bigint")), "items")
+    known = materialize(items.mapInArrow(placed, T.StructType([*items.schema.fields, T.StructField("_part", T.LongType())])), "items")
     sizes = known.groupBy("_part").agg(F.count("*").alias("_size"))
     before = range_sums(sizes, [], [F.col("_part").asc()], {"_before": "_size"})
     at = F.col("_before") + F.pmod(F.xxhash64("piece", "key"), F.col("_size"))
