@@ -4,7 +4,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tracewell.operators import ranking as R
-from tracewell.operators.similarity import earlier_similar, pair_cosine
+from tracewell.operators.similarity import earlier_similar, nearest, pair_cosine
 
 
 def test_history(spark):
@@ -40,7 +40,33 @@ def test_cosine(spark):
 
 def test_earlier_similar(spark):
     texts = spark.createDataFrame([(i, i // 2, ["w%d" % (i % 3), "all"]) for i in range(40)] + [(99, None, ["all"]), (100, 3, None)], "id bigint, at bigint, terms array<string>")
-    found = earlier_similar(texts.where("id in (10, 39)"), texts, 4, block_queries=1).collect()
+    found = earlier_similar(texts.where("id in (10, 39)"), texts, 4, block_terms=1).collect()
     assert all(r.node // 2 < r.query // 2 for r in found)
     assert sorted(r.node for r in found if r.query == 39) == [27, 30, 33, 36]
     assert earlier_similar(texts.limit(0), texts).count() == 0
+
+
+def test_cosine_of_pairs_against_counts(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    texts = {i: [f"w{rng.randint(0, 9)}" for _ in range(rng.randint(0, 30))] for i in range(40)}
+    pairs = [(a, b) for a in range(40) for b in range(a, 40, 3)] + [(1, 99)]
+    df = spark.createDataFrame(list(texts.items()), "id bigint, terms array<string>")
+    one = (math.log(1.5) + 1) ** 2
+
+    def want(a, b):
+        x, y = Counter(texts.get(a, [])), Counter(texts.get(b, []))
+        norm = lambda u, v: sum(n * n * (1 if t in v else one) for t, n in u.items())
+        return sum(x[t] * y[t] for t in x) / math.sqrt(norm(x, y) * norm(y, x)) if x and y else 0
+
+    got = {(r.a, r.b): r.score for r in pair_cosine(spark.createDataFrame(pairs * 2, "a bigint, b bigint"), df).collect()}
+    assert len(got) == len(pairs) and all(math.isclose(got[p], want(*p), abs_tol=1e-12) for p in pairs)
+
+
+def test_nearest(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0]), (5, None), (6, [0.0, 0.0])], "id bigint, vector array<double>")
+    found = {(r.query, r.node) for r in nearest(rows.where("id in (1, 3)"), rows, 2, 1).collect()}
+    assert found == {(1, 4), (1, 2), (3, 2), (3, 6)}
+    assert nearest(rows.limit(0), rows, 2).count() == 0

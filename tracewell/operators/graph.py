@@ -37,6 +37,13 @@ def version_of(versions: DataFrame, commit: str) -> int:
     return -1 if found is None else found
 
 
+def versions_of(versions: DataFrame, commits: DataFrame) -> DataFrame:
+    """(commit_id, version) of each wanted (commit_id), as ``version_of``; one equi-join, every version standing under its prefixes."""
+    names = F.array_distinct(F.concat(F.array("commit_id"), F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.left("commit_id", i))))
+    first = versions.select(F.explode(names).alias("commit_id"), "version").groupBy("commit_id").agg(F.min("version").alias("version"))
+    return commits.select("commit_id").distinct().join(first, "commit_id", "left").select("commit_id", F.coalesce("version", F.lit(-1)).alias("version"))
+
+
 def chain_roots(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(uri, root, pos): each node of ``update`` edges with the first node of its chain and its place from 1.
 
@@ -157,6 +164,26 @@ def undirected(edges: DataFrame, a: str, b: str, *extra: str) -> DataFrame:
     return one.unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("neighbour"), *extra))
 
 
+def of_degree(edges: DataFrame, end: str, k: int) -> DataFrame:
+    """(end, n): the nodes at this end (``src`` or ``dst``) of exactly ``k`` edges; for none at all use an anti join."""
+    return edges.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") == k)
+
+
+def two_hops(edges: DataFrame, block: int = 256) -> DataFrame:
+    """(x, y): nodes two undirected hops apart over distinct (src, dst), x < y, each pair once.
+
+    A middle node with many neighbours is cut into blocks of about ``block``; two blocks meet as a join key of their own, so no
+    middle is hot and the pairs of one come from many tasks. They are made distinct before the shuffle as far as a task holds them twice.
+    """
+    e = materialize(undirected(edges, "src", "dst").distinct(), "undirected")
+    blocks = e.groupBy("node").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    cut = e.join(blocks, "node").select("node", "neighbour", "_blocks", F.pmod(F.xxhash64("neighbour"), F.col("_blocks")).cast("int").alias("_own"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = cut.select("node", F.col("neighbour").alias("x"), F.col("_own").alias("_i"), every.alias("_j"))
+    right = cut.select("node", F.col("neighbour").alias("y"), every.alias("_i"), F.col("_own").alias("_j"))
+    return left.join(right, ["node", "_i", "_j"]).where("x < y").select("x", "y").distinct()
+
+
 def metadata(nodes: DataFrame, edges: DataFrame, versions: DataFrame) -> DataFrame:
     """One row of counts: methods, call edges, similar edges, versions. Four single-row aggregates side by side."""
     n = nodes.agg(F.count_if(F.col("label") == "Method").alias("n_methods"))

@@ -49,16 +49,24 @@ def linked_scores(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("query", "node").join(degree, "node").join(links, "node").select("query", F.col("neighbour").alias("node"), (F.col("sim") / F.col("_deg")).alias("score"))
 
 
-def collaborative(seeds: DataFrame, commit_links: DataFrame, fixed: DataFrame, method_links: DataFrame, k: int = 50) -> DataFrame:
+def collaborative(seeds: DataFrame, commit_links: DataFrame, fixed: DataFrame, method_links: DataFrame, k: int = 50, times: DataFrame | None = None) -> DataFrame:
     """(query, method_id, cfs): collaborative-filtering scores of methods for each query report.
 
     ``seeds``: (query, node, score), the similarity of a query to earlier reports. The best ``k`` add ``sim / degree`` to the reports linked
     with them (node, neighbour, sim), the best ``k`` of which join in, but never the query itself; every report deals its score to the
     methods that it fixed (node, method_id); then each scored method adds ``sim / degree`` to its own neighbours (node, neighbour, sim), once.
+    With ``times`` (node, at) of all reports only those strictly earlier than the query take part, linked ones too; one without a time doesn't.
     """
-    best = top_scores(seeds, k)
+
+    def earlier(scores: DataFrame) -> DataFrame:
+        if times is None:
+            return scores.where("query <> node")
+        asked = times.select(F.col("node").alias("query"), F.col("at").alias("_asked"))
+        return scores.join(times.select("node", "at"), "node").join(asked, "query").where("at < _asked").select("query", "node", "score")
+
+    best = top_scores(earlier(seeds), k)
     spread = linked_scores(best, commit_links).groupBy("query", "node").agg(F.round(F.sum("score"), 12).alias("score"))
-    reports = best.unionByName(top_scores(spread, k)).where("query <> node").groupBy("query", "node").agg(F.sum("score").alias("score"))
+    reports = best.unionByName(top_scores(earlier(spread), k)).groupBy("query", "node").agg(F.sum("score").alias("score"))
     methods = shared_scores(reports, fixed.select("node", F.col("method_id").alias("neighbour"))).withColumnRenamed("neighbour", "node")
     more = linked_scores(methods, method_links)
     return methods.unionByName(more).groupBy("query", F.col("node").alias("method_id")).agg(F.sum("score").alias("cfs"))
@@ -124,6 +132,11 @@ def visible_history(reports: DataFrame) -> DataFrame:
     return reports.join(before, "commit_time").select("bug_id", F.when(F.col("split") == "train", F.col("n_train")).otherwise(F.col("n")).alias("n_visible"))
 
 
+def hash_number(*values: Column) -> Column:
+    """A number below 2**60 from the MD5 hash of values, the same in any engine."""
+    return F.conv(F.left(F.md5(F.concat_ws("|", *values)), F.lit(15)), 16, 10).cast("bigint")
+
+
 def other_rows(queries: DataFrame, rows: DataFrame, key: str, group: str, k: int, buckets: int = 4096) -> DataFrame:
     """(a, b): for each query row a random sample of rows ``b`` of other groups, at least ``k`` of them or all there are.
 
@@ -131,7 +144,7 @@ def other_rows(queries: DataFrame, rows: DataFrame, key: str, group: str, k: int
     on: ``k`` and as many as its group has rows, so that ``k`` are left without those. Joined by place, no cross join; the window
     without partition holds one row per hash bucket.
     """
-    h = F.xxhash64(F.lit("place"), F.col(key))
+    h = hash_number(F.lit("place"), F.col(key))
     bucket = F.pmod(h, F.lit(buckets))
     at = rows.select(F.col(key).alias("b"), F.col(group).alias("_group_b"), bucket.alias("_bucket"), h.alias("_h"))
     n = at.groupBy("_bucket").agg(F.count("*").alias("_n"))
@@ -143,7 +156,7 @@ def other_rows(queries: DataFrame, rows: DataFrame, key: str, group: str, k: int
         return queries.select(F.col(key).alias("a"), F.col(key).alias("b")).limit(0)
     same = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_same"))
     q = queries.select(F.col(key).alias("a"), F.col(group).alias("_group_a"))
-    sized = q.join(same, F.col("_group_a").eqNullSafe(F.col("_group"))).withColumn("_from", F.pmod(F.xxhash64(F.lit("from"), F.col("a")), F.lit(total)))
+    sized = q.join(same, F.col("_group_a").eqNullSafe(F.col("_group"))).withColumn("_from", F.pmod(hash_number(F.lit("from"), F.col("a")), F.lit(total)))
     steps = F.sequence(F.lit(0), F.least(F.lit(total), F.col("_same") + k).cast("int") - 1)
     wanted = sized.select("a", "_group_a", "_from", F.explode(steps).alias("_step")).select("a", "_group_a", F.pmod(F.col("_from") + F.col("_step"), F.lit(total)).alias("_place"))
     return wanted.join(placed, "_place").where(~F.col("_group_a").eqNullSafe(F.col("_group_b"))).select("a", "b")

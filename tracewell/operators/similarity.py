@@ -27,20 +27,42 @@ def term_counts(texts: DataFrame) -> DataFrame:
     return c.join(squares, "id")
 
 
+def _pair_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of pairs (a, b, hashed terms of a, hashed terms of b), all pairs of a batch at once."""
+    w = ONE_SIDED**2
+    for batch in batches:
+        n = batch.num_rows
+        sides = []
+        for c in (2, 3):
+            lists = batch.column(c)
+            offsets = lists.offsets.to_numpy()
+            sides.append((np.repeat(np.arange(n), np.diff(offsets)), lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]))
+        terms, local = np.unique(np.concatenate([sides[0][1], sides[1][1]]), return_inverse=True)
+        cut, width = len(sides[0][1]), max(1, len(terms))
+        (p, x), (q, y) = (np.unique(row * width + at, return_counts=True) for row, at in ((sides[0][0], local[:cut]), (sides[1][0], local[cut:])))
+        x, y = x.astype(float), y.astype(float)
+        _, i, j = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+        both = p[i] // width
+        s, sx, sy = (np.bincount(both, v, n) for v in (x[i] * y[j], x[i] * x[i], y[j] * y[j]))
+        xx, yy = np.bincount(p // width, x * x, n), np.bincount(q // width, y * y, n)
+        scale = np.sqrt((w * xx - (w - 1) * sx) * (w * yy - (w - 1) * sy))
+        score = np.divide(s, scale, out=np.zeros(n), where=scale > 0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["a", "b", "score"])
+
+
 def pair_cosine(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, score) of given pairs (a, b) of text ids: for each pair its own two texts, no join by term of all texts.
+    """(a, b, score) of given pairs (a, b) of text ids (id, terms): for each pair its own two texts, no join by term.
 
-    Texts without terms have score 0. Cost is linear in the pairs and in the lengths of their texts.
+    Texts without terms, and ids without a text, have score 0; a pair given several times comes out once. Only texts that a pair names are
+    shuffled, as one 64-bit hash per term; the products are formed per batch of pairs. Cost is linear in the lengths of the pairs' texts.
     """
-    c = term_counts(texts)
-    left = pairs.select("a", "b").distinct()
-    x = left.join(c.select(F.col("id").alias("a"), "term", F.col("n").alias("x"), F.col("norm").alias("xx")), "a")
-    y = left.join(c.select(F.col("id").alias("b"), "term", F.col("n").alias("y"), F.col("norm").alias("yy")), "b")
-    s = x.join(y, ["a", "b", "term"]).groupBy("a", "b", "xx", "yy").agg(
-        F.sum(F.col("x") * F.col("y")).alias("s"), F.sum(F.col("x") * F.col("x")).alias("sx"), F.sum(F.col("y") * F.col("y")).alias("sy")
-    )
-    scored = s.select("a", "b", _cosine(F.col("s"), F.col("sx"), F.col("sy"), F.col("xx"), F.col("yy")).alias("score"))
-    return left.join(scored, ["a", "b"], "left").fillna(0.0, ["score"])
+    left = pairs.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).distinct()
+    hashed = texts.select(F.col("id").cast("bigint").alias("id"), F.transform("terms", lambda t: F.xxhash64(t)).alias("h")).where(F.size("h") > 0)
+    none = F.array().cast("array<bigint>")
+    for side in ("a", "b"):
+        left = left.join(hashed.select(F.col("id").alias(side), F.col("h").alias(f"h{side}")), side, "left")
+    both = left.select("a", "b", F.coalesce("ha", none).alias("ha"), F.coalesce("hb", none).alias("hb"))
+    return both.mapInArrow(_pair_scores, "a bigint, b bigint, score double")
 
 
 def _best(found: list[tuple], k: int) -> tuple:
@@ -59,8 +81,8 @@ def _search(block, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for big in batches:
-            for i in range(0, big.num_rows, 500):
-                batch = big.slice(i, 500)
+            for i in range(0, big.num_rows, 200):
+                batch = big.slice(i, 200)
                 terms, counts = batch.column(2), batch.column(3)
                 offsets = terms.offsets.to_numpy()
                 t = terms.flatten().to_numpy(zero_copy_only=False)
@@ -90,14 +112,18 @@ def _search(block, k: int):
     return run
 
 
-def earlier_similar(queries: DataFrame, texts: DataFrame, k: int = 50, block_queries: int = 1000) -> DataFrame:
+#: Terms of all queries of a block together; a block's index takes about 24 bytes for each.
+BLOCK_TERMS = 4_000_000
+
+
+def earlier_similar(queries: DataFrame, texts: DataFrame, k: int = 50, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """(query, node, score): the ``k`` earlier texts most like each query text, ties by id descending.
 
     ``queries`` and ``texts``: (id, at, terms), stored, with bigint ids and times; earlier is strictly less in ``at``. Only texts that share a
     term with the query are found. Rows with a null id or time, or without terms, count nowhere.
 
-    ``queries`` is a stated set of queries, searched in blocks: the term counts of ``block_queries`` of them are broadcast as an
-    inverted index, whose size that number bounds, and each task passes its texts through it once, keeping the ``k`` best per query.
+    ``queries`` is a stated set of queries, searched in blocks of about ``block_terms`` terms: a block's term counts are broadcast as an
+    inverted index, whose bytes that number bounds, and each task passes its texts through it once, keeping the ``k`` best per query.
     So nothing but the best is shuffled, and no common term makes a hot key.
     """
     spark = texts.sparkSession
@@ -105,10 +131,10 @@ def earlier_similar(queries: DataFrame, texts: DataFrame, k: int = 50, block_que
     own = F.array_sort(F.array_distinct("h"))
     counted = hashed.select("id", "at", own.alias("t"), F.transform(own, lambda t: F.size(F.filter("h", lambda h: h == t))).alias("n"))
     q = queries.select("id", "at", F.transform("terms", lambda t: F.xxhash64(t)).alias("h")).dropna(subset=["id", "at"]).where(F.size("h") > 0)
-    blocks = max(1, -(-q.count() // block_queries))
+    blocks = max(1, -(-(q.agg(F.sum(F.size("h"))).first()[0] or 0) // block_terms))
     out = None
     for b in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()  # about block_queries rows
+        rows = q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()  # about block_terms terms
         if not rows:
             continue
         pairs = [np.unique(np.array(r.h, dtype=np.int64), return_counts=True) for r in rows]
@@ -125,3 +151,47 @@ def earlier_similar(queries: DataFrame, texts: DataFrame, k: int = 50, block_que
         return spark.createDataFrame([], "query bigint, node bigint, score double")
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("node").desc())
     return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block_queries: int = 50_000) -> DataFrame:
+    """(query, node, score): the ``k`` other rows (id, vector) with the greatest cosine to each query row, exact, ties by id descending.
+
+    The cosine is rounded to nine decimals; vectors have one length, zero vectors have cosine 0, and rows with a null id or vector count nowhere.
+    The queries are a stated set, searched in blocks: ``block_queries`` of their vectors are broadcast, every task passes its rows by them.
+    """
+    spark = rows.sparkSession
+    wide = lambda df: df.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("v")).dropna()
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    q, each = wide(queries), wide(rows)
+    blocks = max(1, -(-q.count() // block_queries))
+    out = None
+    for b in range(blocks):
+        found = q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+        if not found:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r.id for r in found]), unit(np.array([r.v for r in found]))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, vectors = shared.value
+            held: list[tuple] = []
+            for batch in batches:
+                for low in range(0, batch.num_rows, 500):
+                    part = batch.slice(low, 500)
+                    node = part.column(0).to_numpy()
+                    score = np.round(unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)) @ vectors.T, 9)
+                    for at in range(0, len(ids), 1000):
+                        s = score[:, at : at + 1000]
+                        asked = np.broadcast_to(ids[at : at + 1000], s.shape)
+                        nodes = np.broadcast_to(node[:, None], s.shape)
+                        other = asked != nodes
+                        held.append((asked[other], nodes[other], s[other]))
+                    held = [_best(held, k)]
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["query", "node", "score"])
+
+        part = each.mapInArrow(run, "query bigint, node bigint, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "query bigint, node bigint, score double")
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("node").desc())
+    return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
