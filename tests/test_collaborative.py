@@ -30,17 +30,18 @@ def test_scores_spread_over_true_links(spark):
         reports[r.method_id].add(r.bug_id)
     commits, methods = jaccard(fixed), jaccard(reports)
     orders, want = table(spark, D, "orders").collect(), {}
+    at = {o.o_orderkey: o.o_orderdate for o in orders}
     for q in (o for o in orders if o.o_orderkey % 50 == 0):
-        seeds = best({o.o_orderkey: round(o.o_totalprice / 1e6, 3) for o in orders if o.o_custkey == q.o_custkey and o is not q})
+        seeds = best({o.o_orderkey: round(o.o_totalprice / 1e6, 3) for o in orders if o.o_custkey == q.o_custkey and o.o_orderdate < q.o_orderdate})
         spread, cfs = defaultdict(float), defaultdict(float)
         for c in seeds:
             for n, sim in commits.get(c, {}).items():
                 spread[n] += sim / len(commits[c])
         score = defaultdict(float, seeds)
-        for n, x in best({n: round(x, 12) for n, x in spread.items()}).items():
+        for n, x in best({n: round(x, 12) for n, x in spread.items() if at[n] < q.o_orderdate}).items():
             score[n] += x
         for c, x in score.items():
-            for m in fixed.get(c, ()) if c != q.o_orderkey else ():
+            for m in fixed.get(c, ()):
                 cfs[m] += x / len(fixed[c])
         for m in list(cfs):
             for n, sim in methods[m].items():

@@ -64,8 +64,11 @@ def version_axis(s: SparkSession, d: str) -> DataFrame:
 
 
 def commit_lookup(s: SparkSession, d: str) -> DataFrame:
-    """The first version whose commit starts with each hexadecimal digit."""
-    return V.versions(s, d).groupBy(F.left("commit_id", F.lit(1)).alias("prefix")).agg(F.min("version").alias("version"))
+    """The version of commits named by one to seven hexadecimal digits, by the whole id, and by names that no commit has."""
+    v = V.versions(s, d)
+    c = F.col("commit_id")
+    names = F.concat(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.left(c, i)), F.array(c, F.left(c, F.lit(9)), F.lit("none")))
+    return G.versions_of(v.select("version", "commit_id"), v.select(F.explode(names).alias("commit_id")))
 
 
 def update_chains(s: SparkSession, d: str) -> DataFrame:
@@ -133,15 +136,13 @@ def leaf_nodes(s: SparkSession, d: str) -> DataFrame:
 
 
 def node_degrees(s: SparkSession, d: str) -> DataFrame:
-    """Nodes called by exactly as many nodes as the longest list has places."""
-    return _calls(s, d).groupBy("dst").agg(F.count("*").alias("n")).where("n >= 25")
+    """Nodes that are called by exactly 25 nodes."""
+    return G.of_degree(_calls(s, d), "dst", 25)
 
 
 def two_hops(s: SparkSession, d: str) -> DataFrame:
     """Methods two undirected calls apart, each pair once, over all distinct call edges."""
-    e = materialize(G.undirected(V.call_edges(s, d), "src", "dst").distinct(), "undirected")
-    far = e.select("node", F.col("neighbour").alias("y"))
-    return e.select("node", F.col("neighbour").alias("x")).join(far, "node").where("x < y").select("x", "y").distinct()
+    return G.two_hops(materialize(V.call_edges(s, d), "calls"))
 
 
 def triples(s: SparkSession, d: str) -> DataFrame:
@@ -221,9 +222,10 @@ def expansion(s: SparkSession, d: str) -> DataFrame:
 
 
 def collaborative(s: SparkSession, d: str) -> DataFrame:
-    """Collaborative-filtering scores for the orders divisible by 50; seeds are orders of the same customer, by price.
+    """Collaborative-filtering scores for the orders divisible by 50; seeds are earlier orders of the same customer, by price.
 
-    Reports are linked by common methods and methods by common reports, both undirected, with their Jaccard scores.
+    Reports are linked by common methods and methods by common reports, both undirected, with their Jaccard scores; only strictly earlier
+    reports take part.
     """
     o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     q = o.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("query"), "o_custkey")
@@ -231,7 +233,8 @@ def collaborative(s: SparkSession, d: str) -> DataFrame:
     fixed = V.report_methods(s, d)
     links = materialize(V.report_links(s, d, seeds), "links")
     both = materialize(G.undirected(V.method_links(s, d).withColumnRenamed("sim_score", "sim"), "method1", "method2", "sim"), "similar")
-    out = R.collaborative(seeds, links, fixed.select(F.col("bug_id").alias("node"), "method_id"), both)
+    times = V.reports(s, d).select(F.col("bug_id").alias("node"), F.col("commit_time").alias("at"))
+    out = R.collaborative(seeds, links, fixed.select(F.col("bug_id").alias("node"), "method_id"), both, times=times)
     return out.select("query", "method_id", F.round(F.col("cfs") + 1e-9, 6).alias("cfs"))  # exact halves round alike whatever the order of summing
 
 
@@ -345,6 +348,9 @@ _CALLS = "WITH e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lea
 _NEIGHBOURS = """ nb AS (SELECT a AS method_id, b AS neighbour, max(call_score) AS score FROM (SELECT id1 AS a, id2 AS b, call_score FROM method_call_method UNION ALL SELECT id2, id1, call_score FROM method_call_method) q
   WHERE call_score IS NOT NULL AND NOT isnan(call_score) AND a <> b GROUP BY ALL),
  best AS (SELECT method_id, neighbour, score FROM (SELECT *, row_number() OVER (PARTITION BY method_id ORDER BY score DESC, neighbour DESC) AS rn FROM nb) q WHERE rn <= 10)"""
+_LINKS = """ fx AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS m FROM lineitem), fr AS (SELECT r, count(*) AS n FROM fx GROUP BY r), fm AS (SELECT m, count(*) AS n FROM fx GROUP BY m),
+ mc AS (SELECT x.m AS a, y.m AS b, count(*) AS c FROM fx x JOIN fx y ON x.r = y.r AND x.m <> y.m GROUP BY ALL),
+ ml AS (SELECT a, b, c / (u.n + v.n - c) AS sim FROM mc JOIN fm u ON u.m = a JOIN fm v ON v.m = b)"""
 _SCORED = "WITH s AS (SELECT bug_id, method_name, max(buggy_rate) AS buggy_rate, max(label) AS label FROM features WHERE method_name IS NOT NULL AND label IN (0, 1) AND buggy_rate IS NOT NULL AND NOT isnan(buggy_rate) GROUP BY ALL)"
 _DIFF = " SELECT CASE WHEN o.uri IS NULL THEN 'ADD' WHEN n.uri IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS change, o.uri AS old_uri, n.uri AS new_uri FROM old_ o FULL JOIN now_ n USING (chain_root) WHERE o.uri IS DISTINCT FROM n.uri"
 _TOKENS = r"""len(list_filter(regexp_split_to_array(regexp_replace(concat_ws(' ', summary, description), '[#!.{};_\-\[\]=(),/\\:*?"<>|'']', ' ', 'g'), '\s+'), lambda x: x <> ''))"""
@@ -365,7 +371,9 @@ SQL = {
     "positions": r"SELECT DISTINCT uri, regexp_replace(p, ':\d+$', '') AS path, coalesce(try_cast(string_split(p, ':')[2] AS INTEGER), -1) AS line FROM (SELECT uri, translate(node_position, '()', '') AS p FROM method_versions) q",
     "camel_words": r"SELECT DISTINCT id, lower(regexp_replace(regexp_extract(method_uri, '-([^(]+)\(', 1), '([a-z0-9])([A-Z])', '\1 \2', 'g')) AS words FROM method_map",
     "version_axis": _V + " SELECT version, commit_id, lag(commit_id) OVER (ORDER BY version) AS previous FROM ver",
-    "commit_lookup": _V + " SELECT left(commit_id, 1) AS prefix, min(version) AS version FROM ver GROUP BY ALL",
+    "commit_lookup": _V
+    + """, w AS (SELECT DISTINCT unnest([commit_id, left(commit_id, 1), left(commit_id, 2), left(commit_id, 3), left(commit_id, 4), left(commit_id, 5), left(commit_id, 6), left(commit_id, 7), left(commit_id, 9), 'none']) AS c FROM ver)
+ SELECT c AS commit_id, CAST(coalesce(min(version), -1) AS INTEGER) AS version FROM w LEFT JOIN ver v ON CASE WHEN length(c) > 7 THEN v.commit_id = c ELSE starts_with(v.commit_id, c) END GROUP BY c""",
     "update_chains": _V + " SELECT uri, chain_root AS root, CAST(chain_pos AS BIGINT) AS pos FROM nodes WHERE chain_pos > 1 OR next_uri IS NOT NULL",
     "snapshot_nodes": _AT + " SELECT uri, version, class_uri FROM now_ WHERE NOT not_declared",
     "snapshot_members": _AT + " SELECT class_uri, string_agg(uri, ' ' ORDER BY uri) AS members FROM now_ GROUP BY ALL",
@@ -379,8 +387,8 @@ SQL = {
  SELECT DISTINCT least(p, q) AS src, 'similar' AS rel, greatest(p, q) AS dst FROM a WHERE rn = 1""",
     "graph_metadata": _AT + " SELECT (SELECT count(*) FROM nodes WHERE label = 'Method') AS n_methods, (SELECT count(*) FROM calls) AS n_calls, CAST(0 AS BIGINT) AS n_similar, (SELECT count(*) FROM ver) AS n_versions",
     "leaf_nodes": _V + " SELECT uri FROM nodes WHERE next_uri IS NULL",
-    "node_degrees": _AT + " SELECT dst, count(*) AS n FROM calls GROUP BY dst HAVING count(*) >= 25",
-    "two_hops": _CALLS + " SELECT DISTINCT a.src AS x, b.dst AS y FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst",
+    "node_degrees": _AT + " SELECT dst, count(*) AS n FROM calls GROUP BY dst HAVING count(*) = 25",
+    "two_hops": _CALLS + ", u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e) SELECT DISTINCT p.b AS x, q.b AS y FROM u p JOIN u q ON p.a = q.a WHERE p.b < q.b",
     "triples": _AT + " SELECT concat_ws(chr(9), c.src, c.rel, c.dst) AS line FROM calls c JOIN nodes s ON s.uri = c.src AND s.label = 'Method' JOIN nodes t ON t.uri = c.dst AND t.label = 'Method'",
     "snapshot_triples": _AT + " SELECT concat_ws(chr(9), uri, 'label', label) AS line FROM now_ UNION SELECT concat_ws(chr(9), class_uri, 'has', uri) FROM now_ UNION SELECT concat_ws(chr(9), src, rel, dst) FROM live_calls",
     "upsert_nodes": """WITH e AS (SELECT concat('u', user_id) AS uri, event_id, event_type, ts FROM events), old AS (SELECT uri, max(event_type) AS event_type FROM e WHERE event_id % 2 = 0 GROUP BY ALL),
@@ -398,27 +406,36 @@ SQL = {
  SELECT bug_id, method_id, bff, round(coalesce(1.0 / (abs((year(t) - year(latest)) * 12 + month(t) - month(latest)) + 1), 0), 6) AS bfr FROM w""",
     "named_methods": _CALLS + ", m AS (SELECT p_partkey AS id, concat(p_brand, '.', p_type, '-', p_name, '(', p_partkey, ')') AS uri FROM part) SELECT a.uri AS src_uri, b.uri AS dst_uri FROM e JOIN m a ON a.id = src JOIN m b ON b.id = dst",
     "best_neighbours": "WITH" + _NEIGHBOURS + " SELECT method_id, neighbour, score FROM best",
-    "expansion": _CALLS + "," + _NEIGHBOURS + " SELECT method_id, neighbour FROM best UNION SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM e) q WHERE rn <= 10",
-    "collaborative": _CALLS
-    + """, seed AS (SELECT q.o_orderkey AS query, o.o_orderkey AS node, round(o.o_totalprice / 1e6, 3) AS score FROM orders q JOIN orders o USING (o_custkey) WHERE q.o_orderkey % 50 = 0 AND q.o_orderkey <> o.o_orderkey),
+    "expansion": _CALLS
+    + ","
+    + _NEIGHBOURS
+    + ","
+    + _LINKS
+    + """ SELECT method_id, neighbour FROM best
+ UNION SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b DESC) AS rn FROM ml) q WHERE rn <= 10
+ UNION SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS rn FROM (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e) q) q WHERE rn <= 10""",
+    "collaborative": "WITH "
+    + _LINKS
+    + """, seed AS (SELECT q.o_orderkey AS query, o.o_orderkey AS node, round(o.o_totalprice / 1e6, 3) AS score FROM orders q JOIN orders o USING (o_custkey) WHERE q.o_orderkey % 50 = 0 AND o.o_orderdate < q.o_orderdate),
  best AS (SELECT query, node, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node DESC) AS rn FROM seed) z WHERE rn <= 50),
- spread AS (SELECT query, b.node + 1 AS node, sum(score) AS score FROM best b JOIN orders o ON o.o_orderkey = b.node GROUP BY ALL),
- more AS (SELECT query, node, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node DESC) AS rn FROM spread) z WHERE rn <= 50),
+ near AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM fx x JOIN fx y ON x.m = y.m AND x.r <> y.r WHERE x.r IN (SELECT node FROM best) GROUP BY ALL),
+ cl AS (SELECT a, b, c / (u.n + v.n - c) AS sim, count(*) OVER (PARTITION BY a) AS deg FROM near JOIN fr u ON u.r = a JOIN fr v ON v.r = b),
+ spread AS (SELECT query, b AS node, round(sum(sim / deg), 12) AS score FROM best JOIN cl ON cl.a = best.node GROUP BY ALL),
+ late AS (SELECT s.* FROM spread s JOIN orders q ON q.o_orderkey = s.query JOIN orders o ON o.o_orderkey = s.node WHERE o.o_orderdate < q.o_orderdate),
+ more AS (SELECT query, node, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node DESC) AS rn FROM late) z WHERE rn <= 50),
  rep AS (SELECT query, node, sum(score) AS score FROM (SELECT * FROM best UNION ALL SELECT * FROM more) z GROUP BY ALL),
- fx AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS m FROM lineitem), fd AS (SELECT node, count(*) AS n FROM fx GROUP BY ALL),
- ms AS (SELECT query, m, sum(score / n) AS score FROM rep JOIN fd USING (node) JOIN fx USING (node) GROUP BY ALL),
- ml AS (SELECT DISTINCT * FROM (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e) z), md AS (SELECT a, count(*) AS n FROM ml GROUP BY ALL),
- ex AS (SELECT query, b AS m, 0.5 / n AS score FROM ms JOIN md ON md.a = ms.m JOIN ml ON ml.a = ms.m)
+ ms AS (SELECT query, m, sum(score / n) AS score FROM rep JOIN fr ON fr.r = node JOIN fx ON fx.r = node GROUP BY ALL),
+ ex AS (SELECT query, b AS m, sim / deg AS score FROM ms JOIN (SELECT *, count(*) OVER (PARTITION BY a) AS deg FROM ml) l ON l.a = ms.m)
  SELECT query, m AS method_id, round(sum(score) + 1e-9, 6) AS cfs FROM (SELECT * FROM ms UNION ALL SELECT * FROM ex) z GROUP BY ALL""",
     "negatives": """SELECT bug_id, method_name FROM (SELECT *, row_number() OVER (PARTITION BY bug_id ORDER BY md5(concat_ws('|', '0', bug_id, method_name)), method_name) AS rn
- FROM (SELECT DISTINCT bug_id, method_name FROM features WHERE label = 0 AND method_name IS NOT NULL) q) q WHERE rn <= 3""",
+ FROM (SELECT DISTINCT bug_id, method_name FROM features WHERE label = 0 AND method_name IS NOT NULL) q) q WHERE rn <= 300""",
     "oversampled": "SELECT bug_id, label, unnest(range(CASE WHEN label = 1 THEN 3 ELSE 1 END)) AS copy, n FROM (SELECT bug_id, label, count(*) AS n FROM features WHERE label IN (0, 1) GROUP BY ALL) q",
     "scaled": """SELECT p_partkey, round((p_size - a) / (b - a), 6) AS size, round((p_retailprice - c) / (d - c), 6) AS price, CAST(3 AS DOUBLE) AS same
  FROM part, (SELECT CAST(min(p_size) AS DOUBLE) AS a, CAST(max(p_size) AS DOUBLE) AS b, min(p_retailprice) AS c, max(p_retailprice) AS d FROM part) q""",
     "split_by_time": "SELECT o_orderkey AS bug_id, CASE WHEN row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM orders",
     "vocabulary_ids": """WITH t AS (SELECT DISTINCT doc_id, lower(w) AS term FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) q WHERE w <> ''),
- v AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS idx FROM (SELECT term, count(*) AS n FROM t GROUP BY ALL) q ORDER BY n DESC, term LIMIT 500)
- SELECT doc_id, CAST(coalesce(idx, 500) AS INTEGER) AS idx, count(*) AS n FROM t LEFT JOIN v USING (term) GROUP BY ALL""",
+ v AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS idx FROM (SELECT term, count(*) AS n FROM t GROUP BY ALL) q ORDER BY n DESC, term LIMIT 5000)
+ SELECT doc_id, CAST(coalesce(idx, 5000) AS INTEGER) AS idx, count(*) AS n FROM t LEFT JOIN v USING (term) GROUP BY ALL""",
     "features_assembled": """WITH f AS (SELECT bug_id, method_name, max(label) AS label, max(CASE WHEN isnan(bfr) THEN 0 WHEN bfr >= 0 THEN bfr END) AS bfr, max(CASE WHEN isnan(cfs) THEN 0 WHEN cfs >= 0 THEN cfs END) AS cfs
   FROM features WHERE method_name IS NOT NULL AND label IN (0, 1) GROUP BY ALL)
  SELECT bug_id, method_name, label, round(coalesce(bfr, 0), 6) AS bfr, round(coalesce(cfs, 0), 6) AS cfs FROM f WHERE bug_id IN (SELECT bug_id FROM f WHERE label = 1)""",
@@ -434,12 +451,15 @@ SQL = {
     "visible_history": """WITH r AS (SELECT o_orderkey AS bug_id, o_orderdate AS t, o_orderkey % 5 <> 0 AS train FROM orders),
  w AS (SELECT bug_id, train, count(*) OVER p AS n, count(*) FILTER (WHERE train) OVER p AS n_train FROM r WINDOW p AS (ORDER BY epoch_us(t) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
  SELECT bug_id, CASE WHEN train THEN n_train ELSE n END AS n_visible FROM w""",
-    "hard_negatives": """WITH p AS (SELECT row_id AS a, row_id + unnest(range(1, 10)) AS b FROM bug_reports WHERE row_id % 50 = 0),
- x AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY md5(concat_ws('|', '0', a, b)), b) AS rn FROM p) q WHERE rn <= 6),
+    "hard_negatives": """WITH r AS (SELECT row_id, bug_id, row_number() OVER (ORDER BY h % 4096, h, row_id) - 1 AS place, count(*) OVER () AS total, count(*) OVER (PARTITION BY bug_id) AS same
+  FROM (SELECT row_id, bug_id, CAST('0x' || left(md5(concat_ws('|', 'place', row_id)), 15) AS BIGINT) AS h FROM bug_reports) q),
+ s AS (SELECT row_id AS a, bug_id, total, CAST('0x' || left(md5(concat_ws('|', 'from', row_id)), 15) AS BIGINT) % total AS start, unnest(range(least(total, same + 40))) AS step FROM r WHERE row_id % 50 = 0),
+ p AS (SELECT a, r.row_id AS b FROM s JOIN r ON r.place = (start + step) % s.total WHERE r.bug_id IS DISTINCT FROM s.bug_id),
+ x AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY md5(concat_ws('|', '0', a, b)), b) AS rn FROM p) q WHERE rn <= 40),
  tok AS (SELECT row_id AS id, lower(unnest(report)) AS term FROM bug_reports), c AS (SELECT id, term, count(*) AS n FROM tok GROUP BY ALL), l AS (SELECT id, sum(n * n) AS norm FROM c GROUP BY ALL),
- s AS (SELECT a, b, sum(u.n * v.n) AS s, sum(u.n * u.n) AS su, sum(v.n * v.n) AS sv FROM x JOIN c u ON u.id = a JOIN c v ON v.id = b AND u.term = v.term GROUP BY ALL),
- f AS (SELECT x.a, x.b, coalesce(round(s / sqrt((w * lu.norm - (w - 1) * su) * (w * lv.norm - (w - 1) * sv)), 9), 0) AS score FROM x LEFT JOIN s USING (a, b) LEFT JOIN l lu ON lu.id = x.a LEFT JOIN l lv ON lv.id = x.b, (SELECT power(ln(1.5) + 1, 2) AS w) k)
- SELECT a, b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b DESC) AS rn FROM f) q WHERE rn <= 3""",
+ d AS (SELECT a, b, sum(u.n * v.n) AS s, sum(u.n * u.n) AS su, sum(v.n * v.n) AS sv FROM x JOIN c u ON u.id = a JOIN c v ON v.id = b AND u.term = v.term GROUP BY ALL),
+ f AS (SELECT x.a, x.b, coalesce(round(s / sqrt((w * lu.norm - (w - 1) * su) * (w * lv.norm - (w - 1) * sv)), 9), 0) AS score FROM x LEFT JOIN d USING (a, b) LEFT JOIN l lu ON lu.id = x.a LEFT JOIN l lv ON lv.id = x.b, (SELECT power(ln(1.5) + 1, 2) AS w) k)
+ SELECT a, b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b DESC) AS rn FROM f) q WHERE rn <= 20""",
     "ranking_metrics": _SCORED
     + """, r AS (SELECT *, row_number() OVER (PARTITION BY bug_id ORDER BY buggy_rate DESC, method_name) AS rk FROM s), t AS (SELECT bug_id, rk, row_number() OVER (PARTITION BY bug_id ORDER BY rk) / rk AS p FROM r WHERE label = 1),
  g AS (SELECT bug_id, min(rk) AS first, avg(p) AS ap FROM t GROUP BY ALL)

@@ -12,10 +12,11 @@ from ..operators import model as M
 from ..operators import ranking as R
 from ..operators.current import current_rows
 from ..operators.shred import issue_events
-from ..operators.similarity import earlier_similar, pair_cosine
+from ..operators.similarity import earlier_similar, nearest, pair_cosine
 from ..session import materialize, table
 from ..sources.sinks import pivot_triples
 from ..streaming.hooks import is_bug, result_rows, title_commit
+from .training import EVENTS_SQL
 
 STOP = ["the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "that", "don't"]
 
@@ -35,7 +36,7 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def report_pair_cosine(s: SparkSession, d: str) -> DataFrame:
-    """Each report row with the one 7 rows on, and copies of a bug with each other by way of their order."""
+    """Each report row with the one 7 rows on."""
     pairs = table(s, d, "bug_reports").select(F.col("row_id").alias("a"), (F.col("row_id") + 7).alias("b"))
     return pair_cosine(pairs, _texts(s, d)).select("a", "b", F.round("score", 6).alias("score"))
 
@@ -49,10 +50,9 @@ def earlier_reports(s: SparkSession, d: str) -> DataFrame:
 
 
 def issue_filters(s: SparkSession, d: str) -> DataFrame:
-    """Every event of the issue payloads with its bug label test and the commit that the title names."""
+    """Every event of the issue payloads with its bug label test and the commit that its title names."""
     e = issue_events(table(s, d, "view_issue"), "hook_id", "payload")
-    title = F.concat(F.coalesce("title", F.lit("")), F.lit("&commitId:"), F.left(F.md5(F.col("key").cast("string")), F.lit(8)))
-    return e.select(F.col("key").alias("hook_id"), "event_pos", is_bug(F.col("labels")).alias("bug"), title_commit(title).alias("commit"))
+    return e.select(F.col("key").alias("hook_id"), "event_pos", is_bug(F.col("labels")).alias("bug"), title_commit(F.col("title")).alias("commit"))
 
 
 def ranked_results(s: SparkSession, d: str) -> DataFrame:
@@ -91,6 +91,12 @@ def staged_nodes(s: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_embeddings(s: SparkSession, d: str) -> DataFrame:
+    """The ten other vectors most like each vector whose id is divisible by 50."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest(e.where("id % 50 = 0"), e, 10).select("query", "node", F.round("score", 6).alias("score"))
+
+
+def neighbour_cosines(s: SparkSession, d: str) -> DataFrame:
     """Cosine of each vector with the one after it."""
     e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
@@ -130,19 +136,24 @@ SQL = {
  k AS (SELECT id, pos, [' ', '-', '+', ' '][CAST((pos * 7 + length(x)) % 4 AS INTEGER) + 1] AS kind FROM u)
  SELECT id, pos, kind, CASE WHEN kind <> '+' THEN count(*) FILTER (WHERE kind <> '+') OVER w ELSE 0 END AS old_line, CASE WHEN kind <> '-' THEN count(*) FILTER (WHERE kind <> '-') OVER w ELSE 0 END AS new_line
  FROM k WINDOW w AS (PARTITION BY id ORDER BY pos)""",
-    "version_changes": """WITH v AS (SELECT DISTINCT method_id, version, coalesce(source_code, '') AS code FROM method_versions WHERE op <> 'DELETE'),
- o AS (SELECT method_id, code FROM (SELECT *, row_number() OVER (PARTITION BY method_id ORDER BY version DESC, code DESC) AS rn FROM v WHERE version <= 20) q WHERE rn = 1),
- n AS (SELECT method_id, code FROM (SELECT *, row_number() OVER (PARTITION BY method_id ORDER BY version DESC, code DESC) AS rn FROM v WHERE version <= 30) q WHERE rn = 1 AND method_id % 9 <> 0)
+    "version_changes": """WITH v AS (SELECT DISTINCT method_id, version, coalesce(op = 'DELETE', false) AS gone, coalesce(source_code, '') AS code FROM method_versions),
+ o AS (SELECT method_id, code FROM (SELECT *, row_number() OVER (PARTITION BY method_id ORDER BY version DESC, gone DESC, code DESC) AS rn FROM v WHERE version <= 20) q WHERE rn = 1 AND NOT gone),
+ n AS (SELECT method_id, code FROM (SELECT *, row_number() OVER (PARTITION BY method_id ORDER BY version DESC, gone DESC, code DESC) AS rn FROM v WHERE version <= 30) q WHERE rn = 1 AND NOT gone)
  SELECT method_id, CASE WHEN o.code IS NULL THEN 'ADD' WHEN n.code IS NULL THEN 'DELETE' ELSE 'MODIFY' END AS op FROM o FULL JOIN n USING (method_id) WHERE o.code IS DISTINCT FROM n.code""",
+    "issue_filters": EVENTS_SQL
+    + r""", names AS (SELECT hook_id, event_pos, bool_or(contains(coalesce(CASE json_type(x) WHEN 'OBJECT' THEN x ->> '$.name' ELSE x ->> '$' END, ''), 'bug')) AS bug FROM label WHERE json_type(x) <> 'NULL' GROUP BY ALL)
+ SELECT ev.hook_id, ev.event_pos, coalesce(bug, false) AS bug, nullif(regexp_extract(string_split(title, '&')[-1], '^\s*commitId:\s*([0-9A-Za-z]+)\s*$', 1), '') AS commit FROM ev LEFT JOIN names USING (hook_id, event_pos)""",
     "staged_nodes": "SELECT uri, max(label) AS label, max(commit_id) AS \"commitID\", max(not_declared) AS \"notDeclared\" FROM method_versions GROUP BY uri HAVING count(label) + count(commit_id) + count(not_declared) > 0",
-    "nearest_embeddings": """SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))
+    "nearest_embeddings": """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+ p AS (SELECT q.id AS query, n.id AS node, round(list_dot_product(q.v, n.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(n.v, n.v)), 9) AS score FROM v q JOIN v n ON q.id <> n.id WHERE q.id % 50 = 0)
+ SELECT query, node, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node DESC) AS rn FROM p) q WHERE rn <= 10""",
+    "neighbour_cosines": """SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))
   * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
 }
 
 QUERIES = {
     **{name: globals()[name] for name in SQL},
     "stemmed_reports": stemmed_reports,
-    "issue_filters": issue_filters,
     "code_outlines": code_outlines,
     "learned_metrics": learned_metrics,
 }

@@ -110,7 +110,7 @@ WITH {CANON}, {TIMED},
    row_number() OVER (PARTITION BY n.bug_id, n.method_id ORDER BY ct DESC, version DESC, op DESC, label DESC NULLS LAST, commit_id DESC NULLS LAST) AS rn
   FROM named n JOIN timed USING (bug_id) JOIN v ON v.method_id = n.method_id AND known <= t)"""
 
-_EVENTS = r"""
+EVENTS_SQL = r"""
 WITH whole AS (SELECT hook_id, TRY_CAST(payload AS JSON) AS j FROM view_issue),
  outer_ AS (SELECT hook_id, CASE WHEN json_type(j) = 'OBJECT' AND json_keys(j) = ['payload'] THEN
     CASE json_type(j, '$.payload') WHEN 'VARCHAR' THEN TRY_CAST(j ->> '$.payload' AS JSON) ELSE j -> '$.payload' END ELSE j END AS j FROM whole WHERE j IS NOT NULL),
@@ -131,14 +131,14 @@ WITH whole AS (SELECT hook_id, TRY_CAST(payload AS JSON) AS j FROM view_issue),
 SQL = {
     "p2_found": _STATES + " SELECT bug_id, method_id, version FROM best WHERE rn = 1 AND op IS DISTINCT FROM 'DELETE'",
     "p2_states": _STATES + " SELECT bug_id, method_id, version, op, label, commit_id FROM best WHERE rn = 1",
-    "p5_found": _EVENTS
+    "p5_found": EVENTS_SQL
     + """
  SELECT hook_id, event_pos, 'issue' AS kind, -1 AS parent_pos, -1 AS pos, login, action, title, '' AS value FROM ev
  UNION ALL SELECT hook_id, event_pos, 'label', -1, pos, login, action, title, coalesce(CASE json_type(x) WHEN 'OBJECT' THEN x ->> '$.name' ELSE x ->> '$' END, '')
   FROM label WHERE json_type(x) <> 'NULL'
  UNION ALL SELECT hook_id, event_pos, 'reaction', parent_pos, pos, login, action, title, coalesce(CASE json_type(x) WHEN 'OBJECT' THEN x ->> '$.content' ELSE x ->> '$' END, '')
   FROM reaction WHERE json_type(x) <> 'NULL'""",
-    "p5_issues": _EVENTS
+    "p5_issues": EVENTS_SQL
     + " SELECT hook_id, event_pos, e ->> '$.issue.user.login' AS login, e ->> '$.action' AS action, e ->> '$.issue.title' AS title FROM ev",
 }
 
