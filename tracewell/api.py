@@ -5,16 +5,36 @@ from __future__ import annotations
 import argparse
 import json
 import re
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import report_tokens, terms
 from .operators import graph as G
+from .operators import snapshot as S
 from .operators.similarity import earlier_similar
 from .session import local_session, materialize
 from .sources import sinks
 
+_TABLES, _CURRENT = ("nodes", "edges", "versions"), "current.txt"
+
+
+def _files(spark: SparkSession, folder: str):
+    """The file system of a folder and a maker of its paths."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _pointer(spark: SparkSession, folder: str) -> str | None:
+    """Where the last saved graph of a folder lies."""
+    fs, path = _files(spark, folder)
+    if not fs.exists(path(f"{folder}/{_CURRENT}")):
+        return None
+    return f"{folder}/{spark.read.text(f'{folder}/{_CURRENT}').first()[0].strip()}"
+
+
 _READ_ONLY = re.compile(r"^\s*(select|with|show|describe|explain|from|values|table)\b", re.I)
 
 
@@ -29,11 +49,33 @@ class Engine:
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Engine:
-        return cls(spark, *[spark.read.parquet(f"{folder}/{t}") for t in ("nodes", "edges", "versions")])
+        """The graph that was saved last in ``folder``; also one whose three tables lie there directly."""
+        at = _pointer(spark, folder)
+        return cls(spark, *[spark.read.parquet(f"{at or folder}/{t}") for t in _TABLES])
 
     def save(self, folder: str) -> None:
-        for name in ("nodes", "edges", "versions"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        """Write the graph beside what is there, then point to it: a reader, this engine too, never meets a half-written or replaced table.
+
+        The version before stays for those that still read it; older ones are deleted.
+        """
+        before = _pointer(self.spark, folder)
+        at = f"{folder}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        for name in _TABLES:
+            getattr(self, name).write.parquet(f"{at}/{name}")
+        fs, path = _files(self.spark, folder)
+        out = fs.create(path(f"{folder}/{_CURRENT}"), True)
+        out.writeBytes(at.rsplit("/", 1)[1])
+        out.close()
+        for status in fs.listStatus(path(folder)):
+            name = status.getPath().getName()
+            if status.isDirectory() and re.fullmatch(r"\d{20}-[0-9a-f]{8}", name) and name not in (at.rsplit("/", 1)[1], (before or "").rsplit("/", 1)[-1]):
+                fs.delete(status.getPath(), True)
+        self.nodes, self.edges, self.versions = (self.spark.read.parquet(f"{at}/{t}") for t in _TABLES)
+
+    @classmethod
+    def empty(cls, spark: SparkSession) -> Engine:
+        nodes = "uri string, relative_uri string, version int, label string, commit_id string, not_declared boolean, deleted_ver int, chain_root string, chain_pos int, is_constructor boolean, source_code string, position string"
+        return cls(spark, spark.createDataFrame([], nodes), spark.createDataFrame([], "src string, rel string, dst string"), spark.createDataFrame([], "version int, commit_id string"))
 
     def version(self, commit: str) -> int:
         v = G.version_of(self.versions, commit)
@@ -41,26 +83,35 @@ class Engine:
             raise ValueError(f"unknown commit {commit}")
         return v
 
-    def snapshot(self, commit: str) -> dict[str, DataFrame]:
-        """Nodes alive at a commit, members per class, and live calls."""
+    def snapshot(self, commit: str, detail: bool = False) -> dict[str, DataFrame]:
+        """At a commit: ``nodes`` alive and declared, ``classes``, ``members`` of the classes, and the ``graph`` of their methods (calls, with
+        ``detail`` parameters and return types too)."""
         v = self.version(commit)
-        now = G.newest_at(self.nodes, v).where(G.declared())
-        calls = G.replaced_at(self.nodes, self.edges.where("rel = 'call'").join(now.select(F.col("uri").alias("src")), "src", "left_semi"), "dst", v)
-        has = G.replaced_at(self.nodes, self.edges.where("rel = 'has'"), "dst", v)
-        return {"nodes": now, "members": has.select(F.col("src").alias("class_uri"), F.col("dst").alias("uri")), "calls": calls}
+        members = materialize(S.members_at(self.nodes, self.edges, v), "members")
+        graph = S.sub_graph(self.nodes, self.edges, members.where("kind = 'Method'"), v, detail)
+        return {
+            "nodes": G.newest_at(self.nodes, v).where(G.declared()),
+            "classes": members.where("kind = 'Class'").select("uri"),
+            "members": members.where("kind <> 'Class'").select("class_uri", "kind", "uri"),
+            "graph": graph,
+            "calls": graph.where("rel = 'call'").select(F.col("uri").alias("src"), "rel", F.col("target").alias("dst")),
+        }
 
     def diff(self, commit: str) -> DataFrame:
+        """(change, kind, class_uri, old_uri, new_uri) against the commit before: classes and methods; members of new, renamed or deleted classes
+        stand for themselves in those."""
         v = self.version(commit)
         if self.versions.where(F.col("version") < v).limit(1).count() == 0:
             raise ValueError("the first commit has no previous one")
-        return G.diff_versions(self.nodes, v)
+        rows = S.diff_members(self.nodes, self.edges, v).where("not within and kind <> 'Variable'")
+        return rows.select("change", "kind", F.coalesce("new_class", "old_class").alias("class_uri"), "old_uri", "new_uri")
 
-    def update(self, changes: DataFrame, commit: str) -> Engine:
+    def update(self, changes: DataFrame, commit: str, links: DataFrame | None = None) -> Engine:
         """The engine after a change set under a new commit."""
         v = (self.versions.agg(F.max("version")).first()[0] or 0) + 1
-        nodes, edges = G.update_graph(self.nodes, self.edges, changes, v, commit)
+        nodes, edges = S.update_graph(self.nodes, self.edges, changes, v, commit, links)
         versions = G.register_versions(self.versions, self.spark.createDataFrame([(v, commit)], "version int, commit_id string"))
-        return Engine(self.spark, materialize(nodes, "nodes"), materialize(edges, "edges"), versions)
+        return Engine(self.spark, materialize(nodes, "nodes"), materialize(edges, "edges"), materialize(versions, "versions"))
 
     def add_similar(self, pairs: DataFrame) -> Engine:
         return Engine(self.spark, self.nodes, G.upsert_edges(self.edges, G.similar_edges(self.nodes, pairs)), self.versions)
@@ -74,6 +125,19 @@ class Engine:
             sinks.write_triples(lines, path)
         return lines
 
+    def snapshot_triples(self, commit: str, path: str | None = None) -> DataFrame:
+        """Tab-separated triples of one snapshot; also written to ``path``."""
+        lines = S.snapshot_triples(self.nodes, self.edges, self.version(commit))
+        if path:
+            sinks.write_triples(lines, path)
+        return lines
+
+    def relations(self, uri: str, rels: list[str] | None = None) -> DataFrame:
+        """(rel, dst, label): what a node points at, of the given relations only."""
+        own = self.edges.where(F.col("src") == uri)
+        own = own.where(F.col("rel").isin(rels)) if rels else own
+        return own.join(self.nodes.select(F.col("uri").alias("dst"), "label"), "dst", "left").select("rel", "dst", "label")
+
     def metadata(self) -> DataFrame:
         return G.metadata(self.nodes, self.edges, self.versions)
 

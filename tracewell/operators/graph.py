@@ -22,10 +22,6 @@ def uri_version(uri: Column) -> Column:
     return F.element_at(F.split(uri, "#"), -1).try_cast("int")
 
 
-def live(v: int) -> Column:
-    return F.col("deleted_ver").isNull() | (F.col("deleted_ver") > v)
-
-
 def declared() -> Column:
     return ~F.coalesce(F.col("not_declared").cast("boolean"), F.lit(False))
 
@@ -121,10 +117,17 @@ def similar_edges(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return linked.select(F.least("x", "y").alias("src"), F.lit("similar").alias("rel"), F.greatest("x", "y").alias("dst")).distinct()
 
 
-def upsert_nodes(stored: DataFrame, triples: DataFrame, properties: list[str]) -> DataFrame:
-    """(uri, properties...) after writing triples (uri, property, value, seq): the last writer of a property wins, others stay."""
-    wide = triples.groupBy("uri").agg(*[F.max(F.when((F.col("property") == p) & F.col("value").isNotNull(), F.struct("seq", "value")))["value"].alias(f"_{p}") for p in properties])
-    return stored.select("uri", *properties).join(wide, "uri", "full").select("uri", *[F.coalesce(f"_{p}", p).alias(p) for p in properties])
+def upsert_nodes(stored: DataFrame, triples: DataFrame, properties: list[str], labels: str | None = None) -> DataFrame:
+    """(uri, properties...) after writing triples (uri, property, value, seq): the last writer of a property wins, others stay.
+
+    ``labels`` names a property that adds up instead: an array column of all labels written so far, sorted.
+    """
+    last = [F.max(F.when((F.col("property") == p) & F.col("value").isNotNull(), F.struct("seq", "value")))["value"].alias(f"_{p}") for p in properties]
+    more = [F.collect_set(F.when(F.col("property") == labels, F.col("value"))).alias("_labels")] if labels else []
+    wide = triples.groupBy("uri").agg(*last, *more)
+    none = F.array().cast("array<string>")
+    both = [F.array_sort(F.array_union(F.coalesce(labels, none), F.coalesce("_labels", none))).alias(labels)] if labels else []
+    return stored.select("uri", *properties, *([labels] if labels else [])).join(wide, "uri", "full").select("uri", *[F.coalesce(f"_{p}", p).alias(p) for p in properties], *both)
 
 
 def upsert_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -137,27 +140,6 @@ def register_versions(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.select("version", "commit_id").unionByName(fresh.select("version", "commit_id"))
 
 
-def update_graph(nodes: DataFrame, edges: DataFrame, changes: DataFrame, version: int, commit: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) after a change set (relative_uri, op, new_relative_uri, label): ADD, MODIFY (rename included) or DELETE.
-
-    A modified node gets a new node in its chain, joined by an ``update`` edge; a deleted chain's last node gets
-    ``deleted_ver``; an added one starts a chain. Changes to unknown or deleted nodes are left out.
-    """
-    tail = newest_at(nodes, version).select("chain_root", "uri", "relative_uri", "label", "chain_pos")
-    hit = changes.where("op in ('MODIFY', 'DELETE')").select("relative_uri", "op", "new_relative_uri").join(tail, "relative_uri")
-    gone = hit.where("op = 'DELETE'").select("uri", F.lit(version).alias("_gone"))
-    cols = ["uri", "relative_uri", "version", "label", "commit_id", "not_declared", "deleted_ver", "chain_root", "chain_pos"]
-    kept = nodes.select(*cols).join(gone, "uri", "left").withColumn("deleted_ver", F.coalesce("deleted_ver", "_gone")).drop("_gone")
-    rel = F.coalesce("new_relative_uri", "relative_uri")
-    uri = F.concat_ws("#", rel, F.lit(version).cast("string"))
-    new = [F.lit(version).alias("version"), F.col("label"), F.lit(commit).alias("commit_id"), F.lit(False).alias("not_declared"), F.lit(None).cast("int").alias("deleted_ver")]
-    modified = hit.where("op = 'MODIFY'").select(uri.alias("uri"), rel.alias("relative_uri"), *new, "chain_root", (F.col("chain_pos") + 1).alias("chain_pos"), F.col("uri").alias("_old"))
-    added = changes.where("op = 'ADD'").join(tail.select("relative_uri"), "relative_uri", "left_anti")
-    first = added.select(uri.alias("uri"), rel.alias("relative_uri"), *new, uri.alias("chain_root"), F.lit(1).alias("chain_pos"))
-    links = modified.select(F.col("_old").alias("src"), F.lit("update").alias("rel"), F.col("uri").alias("dst"))
-    return kept.unionByName(modified.drop("_old")).unionByName(first), upsert_edges(edges, links)
-
-
 def undirected(edges: DataFrame, a: str, b: str, *extra: str) -> DataFrame:
     """(node, neighbour, extra...): every edge both ways."""
     one = edges.select(F.col(a).alias("node"), F.col(b).alias("neighbour"), *extra)

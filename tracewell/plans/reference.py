@@ -9,6 +9,7 @@ from ..functions.text import clean_time, report_tokens, terms
 from ..functions.uris import method_list, rooted, strip_generics
 from ..operators import graph as G
 from ..operators import ranking as R
+from ..operators import snapshot as S
 from ..session import materialize, table
 from . import virtual as V
 
@@ -183,7 +184,7 @@ def graph_update(s: SparkSession, d: str) -> DataFrame:
     u = n.select("relative_uri", "user_id").distinct()
     op = F.when(F.col("user_id") % 5 == 0, "DELETE").when(F.col("user_id") % 5 == 1, "MODIFY").when(F.col("user_id") % 5 == 2, "ADD")
     changes = u.select(F.when(op == "ADD", F.concat("relative_uri", F.lit("x"))).otherwise(F.col("relative_uri")).alias("relative_uri"), op.alias("op"), F.lit(None).cast("string").alias("new_relative_uri"), F.lit("Method").alias("label"))
-    out, _ = G.update_graph(n, V.update_edges(s, d), changes.where("op is not null"), 1000, "c1000")
+    out, _ = S.update_graph(n, V.update_edges(s, d), changes.where("op is not null"), 1000, "c1000")
     return out.select("uri", "version", F.coalesce("deleted_ver", F.lit(-1)).alias("deleted_ver"), "chain_root", "chain_pos")
 
 
