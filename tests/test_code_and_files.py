@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tracewell.operators import diffs as D
+from tracewell.operators import java as J
 from tracewell.operators import model as M
 from tracewell.sources import files, sinks
 from tracewell.streaming.hooks import watch
@@ -21,10 +22,98 @@ public class A {
 
 
 def test_outline():
-    got = [(o["kind"], o["name"], o["first"], o["signature_end"], o["last"]) for o in D.java_outline(JAVA)]
+    got = [(o["kind"], o["name"], o["first"], o["signature_end"], o["last"]) for o in J.java_outline(JAVA)]
     assert got == [("class", "A", 2, 2, 10), ("method", "f", 4, 5, 8), ("method", "g", 9, 9, 9)]
-    assert D.java_outline(JAVA)[1]["tokens"].count("End") == 2
-    assert D.java_outline("") == [] and D.java_outline("class {{{ (") == []
+    assert J.java_outline(JAVA)[1]["tokens"].count("End") == 2
+    assert J.java_outline("") == [] and [o["kind"] for o in J.java_outline("class {{{ (")] in ([], ["class"])
+
+
+RICH = """package p.q;
+import java.util.*;
+@Deprecated
+public abstract class A<T extends B> extends p.Base<T> implements I {
+    private static final Map<String, List<Integer>> m = new HashMap<>() {{ put("a", f(1)); }}, n;
+    int[] a, b[] = {1, 2};
+    @Test(expected = Foo.class) public void f() { this.g(1, h(2, 3)).k(); new B().run(); super.f(); }
+    @SuppressWarnings("x") void g(int a) {
+    }
+    public abstract <R> R h(final Map<String, R> x, int... ys) throws E;
+    A(String s) { this(s, 1); }
+    static { int q = 1; }
+    enum K { X(1) { void z() {} }, Y; int v; K(int i) {} }
+    interface L { int call(List<String>[] p); }
+    @interface M { int value() default 3; }
+    class N { Runnable r = () -> { g(4); }; }
+}
+"""
+
+
+def test_outline_of_what_java_allows():
+    got = J.java_outline(RICH)
+    names = [(o["kind"], o["class_name"], o["name"]) for o in got]
+    top = "p.q.A"
+    assert names == [
+        ("class", top, "A"), ("field", top, "m"), ("field", top, "n"), ("field", top, "a"), ("field", top, "b"), ("method", top, "f"), ("method", top, "g"), ("method", top, "h"), ("constructor", top, "A"),
+        ("enum", top + "$K", "K"), ("field", top + "$K", "v"), ("constructor", top + "$K", "K"), ("interface", top + "$L", "L"), ("method", top + "$L", "call"), ("annotation", top + "$M", "M"), ("method", top + "$M", "value"),
+        ("class", top + "$N", "N"), ("field", top + "$N", "r"),
+    ]
+    by = {(o["class_name"], o["name"], o["kind"]): o for o in got}
+    assert by[top, "A", "class"]["super_name"] == "Base" and by[top, "A", "class"]["last"] == 17
+    assert [(c["receiver"], c["name"], c["n_args"]) for c in by[top, "f", "method"]["calls"]] == [("this", "g", 2), ("", "h", 2), ("?", "k", 0), ("?", "run", 0), ("super", "f", 0)]
+    h = by[top, "h", "method"]
+    assert h["type"] == "R" and [(p["type"], p["name"]) for p in h["parameters"]] == [("Map", "x"), ("int[]", "ys")] and (h["first"], h["last"]) == (10, 10)
+    assert by[top, "m", "field"]["type"] == "Map" and by[top, "b", "field"]["type"] == "int[][]" and by[top + "$L", "call", "method"]["parameters"] == [{"type": "List[]", "name": "p"}]
+    assert by[top, "g", "method"]["first"] == 8 and by[top, "g", "method"]["last"] == 9
+
+
+def test_statement_blocks():
+    blocks = J.statement_blocks("{ int i = 0 ; if ( i > 0 ) { f ( ) ; } End return i ; }".split())
+    assert [" ".join(b) for b in blocks] == ["{", "int i = 0 ;", "if ( i > 0 ) {", "f ( ) ;", "End", "return i ;"]
+
+
+GIT = """diff --git a/x/A.java b/x/A.java
+index 1..2 100644
+--- a/x/A.java
++++ b/x/A.java
+@@ -1,3 +1,3 @@ class A
+ one
+--- two
++++ two
+ three
+@@ -10 +10,2 @@
+-ten
++ten
++eleven
+\\ No newline at end of file
+diff --git a/B.java b/C.java
+similarity index 90%
+rename from B.java
+rename to C.java
+--- a/B.java
++++ b/C.java
+@@ -5,2 +5,1 @@
+ five
+-six
+diff --git a/N.java b/N.java
+new file mode 100644
+--- /dev/null
++++ b/N.java
+@@ -0,0 +1,1 @@
++new
+"""
+
+
+def test_diff_of_several_files(spark):
+    lines = D.file_lines(spark.createDataFrame([(1, GIT), (2, None), (3, "--- a/P.java\t2020\n+++ b/P.java\n@@ -2,1 +2,1 @@\n-x\n+y\n--- a/Q.java\n+++ /dev/null\n@@ -1 +0,0 @@\n-q")], "id int, body string")).orderBy("id", "pos").collect()
+    got = [(r.id, r.new_file or r.old_file, r.kind, r.old_line, r.new_line, r.content) for r in lines]
+    assert got == [
+        (1, "x/A.java", " ", 1, 1, "one"), (1, "x/A.java", "-", 2, None, "-- two"), (1, "x/A.java", "+", None, 2, "++ two"), (1, "x/A.java", " ", 3, 3, "three"),
+        (1, "x/A.java", "-", 10, None, "ten"), (1, "x/A.java", "+", None, 10, "ten"), (1, "x/A.java", "+", None, 11, "eleven"),
+        (1, "C.java", " ", 5, 5, "five"), (1, "C.java", "-", 6, None, "six"), (1, "N.java", "+", None, 1, "new"),
+        (3, "P.java", "-", 2, None, "x"), (3, "P.java", "+", None, 2, "y"), (3, "Q.java", "-", 1, None, "q"),
+    ]
+    changes = {(r.old_file, r.new_file): (r.op, r.renamed) for r in D.file_changes(spark.createDataFrame(lines)).collect()}
+    assert changes == {("x/A.java", "x/A.java"): ("MODIFY", False), ("B.java", "C.java"): ("MODIFY", True), (None, "N.java"): ("ADD", False), ("P.java", "P.java"): ("MODIFY", False), ("Q.java", None): ("DELETE", False)}
 
 
 def test_states(spark):

@@ -1,26 +1,79 @@
-"""Classification of unified diffs, and a light reading of Java code."""
+"""Unified diffs: their lines, and what they change."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def diff_lines(diffs: DataFrame) -> DataFrame:
-    """(id, pos, kind, old_line, new_line, content) of whole-file unified diffs (id, body): the lines after the hunk header.
+def file_lines(diffs: DataFrame) -> DataFrame:
+    """(id, file, old_file, new_file, pos, kind, old_line, new_line, content) of unified diffs (id, body) of any number of files.
 
-    ``kind`` is ``-``, ``+`` or a blank; line numbers count from 1 on the side that holds the line, null on the other.
+    A file starts at ``diff --git``, or where there is none at ``---`` before ``+++`` and ``@@``; a hunk header sets the line numbers. Only lines
+    of hunks come out: no headers, no ``\\ No newline at end of file``. ``kind`` is ``-``, ``+`` or a blank; line numbers stand
+    on the side that holds the line, null on the other. ``old_file`` and ``new_file`` are paths without their ``a/`` and ``b/``, null for ``/dev/null``.
+    A body without any header is one whole file whose lines count from 1, both files null. A null body has no lines.
     """
-    lines = diffs.select("id", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
+    lines = diffs.select("id", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line"))
+    own = Window.partitionBy("id").orderBy("pos")
+    far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    git = F.startswith("line", F.lit("diff --git "))
+    hunk = F.regexp_extract_all("line", F.lit(r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"), F.lit(1))
+    marked = lines.select(
+        "id",
+        "pos",
+        "line",
+        git.alias("git"),
+        (F.size(hunk) > 0).alias("hunk"),
+        (F.startswith("line", F.lit("--- ")) & F.startswith(F.lead("line").over(own), F.lit("+++ ")) & F.startswith(F.lead("line", 2).over(own), F.lit("@@ "))).alias("plain"),
+    )
+    # a plain header counts as a start where no git header is open, that is where the last mark before it is a hunk or nothing
+    mark = F.when(F.col("git"), "git").when(F.col("hunk"), "hunk")
+    opened = marked.withColumn("last", F.last(mark, True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    starts = opened.withColumn("start", F.col("git") | F.coalesce(F.col("plain") & ~F.coalesce(F.col("last") == "git", F.lit(False)), F.lit(False)))
+    numbered = starts.select("*", F.sum(F.col("start").cast("int")).over(far).alias("file"), F.max("hunk").over(Window.partitionBy("id")).alias("_headed"))
+    in_file = Window.partitionBy("id", "file").orderBy("pos")
+    so_far = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    path = lambda mark: F.regexp_extract("line", rf"^{mark} (?:[ab]/)?([^\t]*?)(?:\t.*)?$", 1)
+    hunks = numbered.withColumn("_hunk", F.sum(F.col("hunk").cast("int")).over(so_far))
+    head = F.col("_hunk") == 0
+    named = lambda mark: F.first(F.when(head & F.startswith("line", F.lit(mark + " ")), path(mark.replace("+", r"\+"))), True).over(Window.partitionBy("id", "file"))
+    files = hunks.select("*", *[F.nullif(F.nullif(named(m), F.lit("/dev/null")), F.lit("")).alias(n) for m, n in (("---", "old_file"), ("+++", "new_file"))])
+    content = F.col("_headed") & (F.col("_hunk") > 0) & ~F.col("hunk") & ~F.startswith("line", F.lit("\\")) | ~F.col("_headed")
     kind = F.when(F.left("line", F.lit(1)).isin("+", "-"), F.left("line", F.lit(1))).otherwise(" ")
-    w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    k = lines.select("id", "pos", kind.alias("kind"), F.expr("substring(line, 2)").alias("content"))
-    old, new = F.sum(F.when(F.col("kind") != "+", 1)).over(w), F.sum(F.when(F.col("kind") != "-", 1)).over(w)
-    return k.select("id", "pos", "kind", F.when(F.col("kind") != "+", old).alias("old_line"), F.when(F.col("kind") != "-", new).alias("new_line"), "content")
+    # an empty last line is the end of the text, not a line of it
+    ended = (F.col("line") == "") & F.lead("line").over(own).isNull() & F.col("_headed")
+    body = files.select("*", kind.alias("kind"), (content & ~ended).alias("_in"))
+    in_hunk = Window.partitionBy("id", "file", "_hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = lambda i: F.coalesce(F.max(F.regexp_extract("line", r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@", i).try_cast("int")).over(Window.partitionBy("id", "file", "_hunk")), F.lit(1))
+    counted = body.select(
+        "*",
+        (first(1) - 1 + F.sum(F.when(F.col("_in") & (F.col("kind") != "+"), 1).otherwise(0)).over(in_hunk)).alias("_old"),
+        (first(2) - 1 + F.sum(F.when(F.col("_in") & (F.col("kind") != "-"), 1).otherwise(0)).over(in_hunk)).alias("_new"),
+    )
+    return counted.where("_in").select(
+        "id",
+        "file",
+        "old_file",
+        "new_file",
+        "pos",
+        "kind",
+        F.when(F.col("kind") != "+", F.col("_old")).alias("old_line"),
+        F.when(F.col("kind") != "-", F.col("_new")).alias("new_line"),
+        F.expr("substring(line, 2)").alias("content"),
+    )
+
+
+def file_changes(lines: DataFrame) -> DataFrame:
+    """(id, file, old_file, new_file, op, renamed): each file of ``file_lines`` as added, deleted or modified, and whether its name changed."""
+    files = lines.select("id", "file", "old_file", "new_file").distinct()
+    op = F.when(F.col("old_file").isNull() & F.col("new_file").isNotNull(), "ADD").when(F.col("new_file").isNull() & F.col("old_file").isNotNull(), "DELETE").otherwise("MODIFY")
+    return files.select("*", op.alias("op"), F.coalesce((op == "MODIFY") & (F.col("old_file") != F.col("new_file")), F.lit(False)).alias("renamed"))
+
+
+def diff_lines(diffs: DataFrame) -> DataFrame:
+    """(id, pos, kind, old_line, new_line, content) of diffs (id, body) of one file each; see ``file_lines``."""
+    return file_lines(diffs).select("id", "pos", "kind", "old_line", "new_line", "content")
 
 
 def method_states(lines: DataFrame, old_methods: DataFrame, new_methods: DataFrame) -> DataFrame:
@@ -50,72 +103,3 @@ def item_changes(old: DataFrame, new: DataFrame, key: list[str], value: str) ->
     both = old.select(*key, F.col(value).alias("_o"), F.lit(True).alias("_io")).join(new.select(*key, F.col(value).alias("_n"), F.lit(True).alias("_in")), key, "full")
     op = F.when(F.col("_io").isNull(), "ADD").when(F.col("_in").isNull(), "DELETE").when(~F.col("_o").eqNullSafe(F.col("_n")), "MODIFY")
     return both.select(*key, op.alias("op")).where("op is not null")
-
-
-# Java
-
-_TOKEN = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_$][\w$]*|\d[\w.]*|[{}();,\[\]]|[^\s\w]""", re.S)
-_CONTROL = {"if", "for", "while", "do", "switch", "try"}
-_NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "new", "synchronized", "super", "this"}
-_OUTLINE = pa.schema([("id", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("first", pa.int32()), ("signature_end", pa.int32()), ("last", pa.int32()), ("tokens", pa.list_(pa.string()))])
-
-
-def java_tokens(code: str) -> list[tuple[str, int]]:
-    """(token, line) without comments; strings are one token."""
-    out, line, at = [], 1, 0
-    for m in _TOKEN.finditer(code):
-        line += code.count("\n", at, m.start())
-        at = m.start()
-        if not m[0].startswith(("//", "/*")):
-            out.append((m[0], line))
-    return out
-
-
-def java_outline(code: str) -> list[dict]:
-    """Classes and methods with a body: name, line bounds, end of the signature, and the method's token sequence.
-
-    The sequence is the method's tokens in order, with ``End`` after each block of a control statement. Unbalanced code gives
-    what was closed.
-    """
-    tokens, found, stack = java_tokens(code), [], []
-    start = 0
-    for i, (t, line) in enumerate(tokens):
-        if t == "{":
-            head = [x for x, _ in tokens[start:i]]
-            kind = name = None
-            if "class" in head[:-1] or "interface" in head[:-1] or "enum" in head[:-1]:
-                at = max(k for k, x in enumerate(head[:-1]) if x in ("class", "interface", "enum"))
-                kind, name = "class", head[at + 1]
-            elif "(" in head and head.index("(") > 0 and head[head.index("(") - 1] not in _NOT_METHODS and not set(head[: head.index("(")]) & {"=", "new", "."} and "->" not in "".join(head):
-                kind, name = "method", head[head.index("(") - 1]
-            control = next((x for x in head if x in _CONTROL or x in ("else", "catch", "finally")), None)
-            stack.append((kind, name, start, i, control))
-            start = i + 1
-        elif t == "}" and stack:
-            kind, name, first, opened, control = stack.pop()
-            if kind:
-                found.append({"kind": kind, "name": name, "first": tokens[first][1], "signature_end": tokens[opened][1], "last": line, "_span": (first, i)})
-            elif control:
-                tokens[i] = ("} End", line)
-            start = i + 1
-        elif t == ";" and not (stack and "(" in [x for x, _ in tokens[start:i]] and tokens[start][0] == "for"):
-            start = i + 1
-    for f in found:
-        a, b = f.pop("_span")
-        f["tokens"] = [w for x, _ in tokens[a : b + 1] for w in (("}", "End") if x == "} End" else (x,))]
-        if f["kind"] == "class":
-            f["tokens"] = []
-    return sorted(found, key=lambda f: (f["first"], f["last"]))
-
-
-def outlines(files: DataFrame) -> DataFrame:
-    """(id, kind, name, first, signature_end, last, tokens) of Java texts (id, code), which no column function can parse."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, code in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [{"id": k, **f} for f in java_outline(code.as_py() or "")]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_OUTLINE)
-
-    return files.select("id", "code").mapInArrow(run, "id bigint, kind string, name string, first int, signature_end int, last int, tokens array<string>")

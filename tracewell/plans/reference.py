@@ -111,6 +111,33 @@ def apply_diff(s: SparkSession, d: str) -> DataFrame:
     return G.apply_diff(G.newest_at(n, AT - 1), G.diff_versions(n, AT))
 
 
+def class_members(s: SparkSession, d: str) -> DataFrame:
+    """Live classes and their members, by the newest nodes."""
+    return S.members_at(*V.class_graph(s, d), AT).select("class_uri", "kind", "uri")
+
+
+def method_graph(s: SparkSession, d: str) -> DataFrame:
+    """Calls, parameters with their types, and return types of the live classes' methods."""
+    nodes, edges = V.class_graph(s, d)
+    return S.sub_graph(nodes, edges, S.members_at(nodes, edges, AT).where("kind = 'Method'"), AT, detail=True)
+
+
+def diff_members(s: SparkSession, d: str) -> DataFrame:
+    """What changes where classes are renamed."""
+    return S.diff_members(*V.class_graph(s, d), V.RENAMED)
+
+
+def apply_members(s: SparkSession, d: str) -> DataFrame:
+    """The snapshot before a class is deleted, brought to the one after."""
+    nodes, edges = V.class_graph(s, d)
+    return S.apply_members(S.members_at(nodes, edges, V.DELETED - 1), S.diff_members(nodes, edges, V.DELETED))
+
+
+def class_triples(s: SparkSession, d: str) -> DataFrame:
+    """Triples of a snapshot with its classes."""
+    return S.snapshot_triples(*V.class_graph(s, d), AT)
+
+
 def latest_nodes(s: SparkSession, d: str) -> DataFrame:
     return G.latest(V.nodes(s, d))
 
@@ -381,6 +408,29 @@ SQL = {
     "snapshot_calls": _AT + " SELECT src, rel, dst FROM live_calls",
     "diff": _AT + _DIFF,
     "apply_diff": _AT + " SELECT uri FROM now_",
+    "class_members": _V + "," + V.members_sql(AT, "") + " SELECT class_uri, kind, uri FROM members",
+    "method_graph": _V
+    + ","
+    + V.members_sql(AT, "")
+    + """, m AS (SELECT n.* FROM now n JOIN live l ON l.k = n.user_id % 10 WHERE n.label = 'Method')
+ SELECT m.uri, 'call' AS rel, CAST(NULL AS VARCHAR) AS via, t.uri AS target FROM m JOIN now t ON t.user_id = m.user_id + 1
+ UNION ALL SELECT m.uri, 'returnType', NULL, live.class_uri FROM m JOIN live ON k = (m.user_id % 10 + 3) % 10
+ UNION ALL SELECT m.uri, 'Parameter', concat(relative_uri, '-parameter-0#', version), live.class_uri FROM m JOIN live ON k = (m.user_id % 10 + 1) % 10""",
+    "diff_members": _V
+    + ","
+    + V.members_sql(V.RENAMED - 1, "_o")
+    + ","
+    + V.members_sql(V.RENAMED, "_n")
+    + """, b AS (SELECT k, root, coalesce(n.kind, o.kind) AS kind, o.class_uri AS old_class, n.class_uri AS new_class, o.uri AS old_uri, n.uri AS new_uri FROM members_o o FULL JOIN members_n n USING (k, root)
+  WHERE o.uri IS DISTINCT FROM n.uri OR o.class_uri IS DISTINCT FROM n.class_uri)
+ SELECT CASE WHEN old_uri IS NULL THEN 'ADD' WHEN new_uri IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS change, kind, old_class, new_class, old_uri, new_uri, kind <> 'Class' AND k IN (SELECT k FROM b WHERE kind = 'Class') AS within FROM b""",
+    "apply_members": _V + "," + V.members_sql(V.DELETED, "") + " SELECT class_uri, kind, uri FROM members",
+    "class_triples": _V
+    + ","
+    + V.members_sql(AT, "")
+    + """, c AS (SELECT m.uri AS src, t.uri AS dst, t.label FROM now m JOIN live l ON l.k = m.user_id % 10 JOIN now t ON t.user_id = m.user_id + 1 WHERE m.label = 'Method')
+ SELECT concat_ws(chr(9), uri, 'label', kind) AS line FROM members UNION SELECT concat_ws(chr(9), dst, 'label', label) FROM c UNION SELECT concat_ws(chr(9), class_uri, 'has', uri) FROM members WHERE kind <> 'Class'
+ UNION SELECT concat_ws(chr(9), src, 'call', dst) FROM c""",
     "latest_nodes": _V + " SELECT relative_uri, arg_max(uri, version) AS uri FROM nodes GROUP BY ALL",
     "latest_nodes_at": _V + " SELECT relative_uri, coalesce(arg_max(uri, version) FILTER (WHERE version <= 1), arg_max(uri, version)) AS uri FROM nodes GROUP BY ALL",
     "similar_edges": _V

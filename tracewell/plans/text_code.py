@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.normalise import PUNCTUATION, normal_words, stems
 from ..functions.text import clean_time, micros, terms
 from ..operators import diffs as D
+from ..operators import java as J
 from ..operators import model as M
 from ..operators import ranking as R
 from ..operators.current import current_rows
@@ -79,7 +80,7 @@ def version_changes(s: SparkSession, d: str) -> DataFrame:
 
 
 def code_outlines(s: SparkSession, d: str) -> DataFrame:
-    return D.outlines(table(s, d, "documents").where("kind = 'code'").select(F.col("doc_id").alias("id"), F.col("text").alias("code")))
+    return J.outlines(table(s, d, "documents").where("kind = 'code'").select(F.col("doc_id").alias("id"), F.col("text").alias("code")))
 
 
 def staged_nodes(s: SparkSession, d: str) -> DataFrame:
