@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from tracewell.plans import reference, text_code, training
+from tracewell.plans import prepare, reference, text_code, training
 
 D = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="needs the test tables")
-CASES = [(m, n) for m in (reference, text_code, training) for n in m.SQL]
+CASES = [(m, n) for m in (reference, text_code, training, prepare) for n in m.SQL]
 
 
 @pytest.fixture(scope="module")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_time, report_tokens, terms
 from ..functions.uris import method_list, rooted, strip_generics
+from ..operators import features as E
 from ..operators import graph as G
 from ..operators import ranking as R
 from ..operators import snapshot as S
@@ -240,13 +241,7 @@ def best_neighbours(s: SparkSession, d: str) -> DataFrame:
 
 def expansion(s: SparkSession, d: str) -> DataFrame:
     """Methods that a short method is expanded with: ten each by similarity, by call score and by the call graph, either direction, each once."""
-    links = G.undirected(V.method_links(s, d), "method1", "method2", "sim_score")
-    similar = R.top_scores(links.select(F.col("node").alias("query"), F.col("neighbour").alias("node"), F.col("sim_score").alias("score")), 10)
-    calls = G.undirected(V.call_edges(s, d), "src", "dst").distinct().withColumnRenamed("node", "method_id")
-    w = Window.partitionBy("method_id").orderBy("neighbour")
-    first = calls.withColumn("_r", F.row_number().over(w)).where("_r <= 10").drop("_r")
-    scored = best_neighbours(s, d).select("method_id", "neighbour").unionByName(similar.select(F.col("query").alias("method_id"), F.col("node").alias("neighbour")))
-    return scored.unionByName(first).distinct()
+    return E.expansion(V.method_links(s, d), table(s, d, "method_call_method"), V.call_edges(s, d))
 
 
 def collaborative(s: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import features
 from ..session import materialize, table
 
 
@@ -28,29 +29,11 @@ def call_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def method_links(spark: SparkSession, d: str) -> DataFrame:
-    """(method1, method2, sim_score): methods fixed by a common report, smaller first, with the Jaccard score of their report sets."""
-    f = materialize(report_methods(spark, d), "fixes")
-    n = f.groupBy("method_id").agg(F.count("*").alias("n"))
-    pairs = f.select("bug_id", F.col("method_id").alias("method1")).join(f.select("bug_id", F.col("method_id").alias("method2")), "bug_id").where("method1 < method2")
-    common = pairs.groupBy("method1", "method2").agg(F.count("*").alias("c"))
-    both = common.join(n.select(F.col("method_id").alias("method1"), F.col("n").alias("n1")), "method1").join(n.select(F.col("method_id").alias("method2"), F.col("n").alias("n2")), "method2")
-    return both.select("method1", "method2", (F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).alias("sim_score"))
+    return features.method_links(materialize(report_methods(spark, d), "fixes"))
 
 
 def report_links(spark: SparkSession, d: str, of: DataFrame, block: int = 1000) -> DataFrame:
-    """(node, neighbour, sim): all reports that share a method with each report of ``of`` (node), with the Jaccard score of their method sets.
-
-    Both directions are there. A method of many reports is cut into blocks of about ``block``, so it is no hot key.
-    """
-    f = materialize(report_methods(spark, d), "fixes")
-    n = f.groupBy("bug_id").agg(F.count("*").alias("n"))
-    blocks = f.groupBy("method_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    cut = f.join(blocks, "method_id")
-    near = cut.select("method_id", F.col("bug_id").alias("neighbour"), F.pmod(F.xxhash64("bug_id"), F.col("_blocks")).cast("int").alias("_block"))
-    own = cut.withColumnRenamed("bug_id", "node").join(of.select("node").distinct(), "node", "left_semi").select("method_id", "node", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
-    common = own.join(near, ["method_id", "_block"]).where("node <> neighbour").groupBy("node", "neighbour").agg(F.count("*").alias("c"))
-    both = common.join(n.select(F.col("bug_id").alias("node"), F.col("n").alias("n1")), "node").join(n.select(F.col("bug_id").alias("neighbour"), F.col("n").alias("n2")), "neighbour")
-    return both.select("node", "neighbour", (F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).alias("sim"))
+    return features.report_links(materialize(report_methods(spark, d), "fixes"), of, block)
 
 
 def versions(spark: SparkSession, d: str) -> DataFrame:
