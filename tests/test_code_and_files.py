@@ -151,6 +151,24 @@ def test_files(spark, tmp_path):
     assert [x.commit_id for x in files.commits_csv(spark, str(tmp_path / "c.csv")).orderBy("ord").collect()] == ["a", "b", "c"]
 
 
+def test_order_of_several_files(spark, tmp_path):
+    folder = tmp_path / "ids"
+    folder.mkdir()
+    (folder / "a.txt").write_text("1 first\n")
+    (folder / "b.txt").write_text("1 second\n" + "".join(f"{i} x{i}\n" for i in range(2, 5000)))
+    assert files.id_map(spark, str(folder)).where("id = 1").first().uri == "first"  # though the larger file is read first
+
+
+def test_commit_lists(spark, tmp_path):
+    order = lambda df: [r.commit_id for r in df.orderBy("ord").collect()]
+    (tmp_path / "db").write_text("1,b3,f3,x\n2,b2,b3,x\n3,b1,f1,x\n")
+    assert order(files.commit_db(spark, str(tmp_path / "db"))) == ["f1", "b3", "f3"]
+    (tmp_path / "x.csv").write_text("".join(f"a,b,c,d,e,f,{c}\n" for c in ("1234567zz", "abcdefgh", "1234567aa", "old")))
+    assert order(files.commit_column(spark, str(tmp_path / "x.csv"))) == ["old", "1234567aa", "abcdefgh"]
+    (tmp_path / "log").write_text("commit 2222222\nAuthor: a\nDate:   Tue Mar 3 10:00:00 2020 +0200\n\n    commit message\n\ncommit 1111111\nMerge: 1 2\nDate:   Mon Mar 2 09:00:00 2020 +0000\n")
+    assert [(r.ord, r.commit_id, str(r.time)) for r in files.git_log(spark, str(tmp_path / "log")).orderBy("ord").collect()] == [(0, "1111111", "2020-03-02 09:00:00"), (1, "2222222", "2020-03-03 08:00:00")]
+
+
 def test_sinks(spark, tmp_path):
     t = spark.createDataFrame([("u", "label", "Method", True, 1), ("u", "commitID", "a", True, 1), ("u", "commitID", "b", True, 2), ("u", "call", "w", False, 3), ("u", "call", "w", False, 4)], "s string, p string, o string, is_literal boolean, seq int")
     nodes, edges = sinks.pivot_triples(t)

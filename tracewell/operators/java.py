@@ -21,6 +21,12 @@ _NO_CALLS = {"if", "for", "while", "switch", "catch", "return", "throw", "synchr
 Token = tuple[str, int]
 
 
+class _Word(str):
+    """A token that knows where in the text it stands."""
+
+    at: int
+
+
 def java_tokens(code: str) -> list[Token]:
     """(token, line) without comments; strings are one token."""
     out, line, at = [], 1, 0
@@ -28,7 +34,9 @@ def java_tokens(code: str) -> list[Token]:
         line += code.count("\n", at, m.start())
         at = m.start()
         if not m[0].startswith(("//", "/*")):
-            out.append((m[0], line))
+            word = _Word(m[0])
+            word.at = m.start()
+            out.append((word, line))
     return out
 
 
@@ -163,7 +171,7 @@ def java_outline(code: str) -> list[dict]:
 
     Each has ``kind`` (class, interface, enum, annotation, record, field, method, constructor), ``name``, ``class_name`` (dotted, with the package, of the
     class it stands in or is), ``super_name``, ``type`` (of a field; what a method returns), ``parameters``, ``calls``, ``first``,
-    ``signature_end``, ``last`` and ``tokens`` (of methods). Methods without a body end at their semicolon. Annotations are skipped. Local and
+    ``signature_end``, ``last``, ``span`` (offsets in the text) and ``tokens`` (of methods). Methods without a body end at their semicolon. Annotations are skipped. Local and
     anonymous classes count as part of the method. Unbalanced code gives what could be read.
     """
     tokens = _plain(java_tokens(code))
@@ -178,7 +186,7 @@ def java_outline(code: str) -> list[dict]:
 
     def row(kind: str, name: str, owner: str, low: int, opened: int, high: int, **more) -> dict:
         line = lambda k: tokens[min(k, len(tokens) - 1)][1]
-        return {"kind": kind, "name": name, "class_name": owner, "super_name": None, "type": None, "parameters": [], "calls": [], "tokens": [], "first": line(low), "signature_end": line(opened), "last": line(high), **more}
+        return {"kind": kind, "name": name, "class_name": owner, "super_name": None, "type": None, "parameters": [], "calls": [], "tokens": [], "first": line(low), "signature_end": line(opened), "last": line(high), "span": (tokens[low][0].at, tokens[high][0].at + len(tokens[high][0])), **more}
 
     def fields(low: int, high: int) -> None:
         words = [t for t, _ in tokens[low:high] if t not in _MODIFIERS]
@@ -320,16 +328,16 @@ OUTLINE = (
 
 def outlines(files: DataFrame) -> DataFrame:
     """(OUTLINE) of Java texts (id, code), which no column function can parse: a row per class, field, method and constructor, ``place`` counting
-    from 0 in each text. ``source`` holds a method's lines. Null and empty texts have no rows."""
+    from 0 in each text. ``source`` is a method's text, from after its annotations. Null and empty texts have no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
             for k, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 code = cell.as_py() or ""
-                lines = code.split("\n")
                 for place, f in enumerate(java_outline(code)):
-                    source = "\n".join(lines[f["first"] - 1 : f["last"]]) if f["kind"] in ("method", "constructor") else None
+                    a, b = f.pop("span")
+                    source = code[a:b] if f["kind"] in ("method", "constructor") else None
                     rows.append({"id": k, "place": place, "source": source, **f})
                 if len(rows) > 2000:
                     yield pa.RecordBatch.from_pylist(rows, schema=_OUTLINE)

@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SCORES = ["bfr", "bff", "cfs"]
 
 
@@ -35,13 +37,21 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def word_vectors(texts: DataFrame, size: int = 128, vocabulary: int = 5000, max_rows: int = 200_000, seed: int = 7) -> DataFrame:
-    """(id, vector) of (id, terms): the mean of skip-gram vectors of the ``vocabulary`` most frequent terms, fitted on a bounded sample."""
-    top = texts.select(F.explode("terms").alias("t")).groupBy("t").count().orderBy(F.col("count").desc(), "t").limit(vocabulary)
-    rare = top.agg(F.min("count")).first()[0] or 0
+    """(id, vector) of (id, terms): the mean of the skip-gram vectors of a text's terms, zeros without any known one.
+
+    The vectors are fitted on a sample of at most about ``max_rows`` texts, cut down to the ``vocabulary`` most frequent terms of the sample (equals by
+    code point); all texts get a vector.
+    """
     n = texts.count()
-    sample = texts.sample(max_rows / n, seed) if n > max_rows else texts
-    model = Word2Vec(vectorSize=size, minCount=max(1, rare), inputCol="terms", outputCol="_v", seed=seed, maxIter=1).fit(sample)
-    return model.transform(texts).select("id", vector_to_array("_v").alias("vector"))
+    sample = materialize((texts.sample(max_rows / n, seed) if n > max_rows else texts).select("id", "terms"), "sample")
+    words = sample.select("id", F.posexplode("terms").alias("pos", "t"))
+    top = words.groupBy("t").count().orderBy(F.col("count").desc(), "t").limit(vocabulary).select("t")
+    kept = words.join(F.broadcast(top), "t").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("terms"))
+    if kept.isEmpty():
+        return texts.select("id", F.array_repeat(F.lit(0.0), size).alias("vector"))
+    model = Word2Vec(vectorSize=size, minCount=1, inputCol="terms", outputCol="_v", seed=seed, maxIter=1).fit(kept)
+    known = texts.select("id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    return model.transform(known).select("id", vector_to_array("_v").alias("vector"))
 
 
 def cosine(a: str, b: str):

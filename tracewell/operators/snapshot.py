@@ -97,7 +97,7 @@ def snapshot_triples(nodes: DataFrame, edges: DataFrame, v: int) -> DataFrame:
 NODE_COLUMNS = ["uri", "relative_uri", "version", "label", "commit_id", "not_declared", "deleted_ver", "chain_root", "chain_pos"]
 
 
-def update_graph(nodes: DataFrame, edges: DataFrame, changes: DataFrame, version: int, commit: str, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def update_graph(nodes: DataFrame, edges: DataFrame, changes: DataFrame, version: int, commit: str, links: DataFrame | None = None, properties: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after a change set under a new version.
 
     ``changes``: (relative_uri, op, new_relative_uri, label[, class_uri]) with ADD, MODIFY (a rename where ``new_relative_uri`` is given) or DELETE of
@@ -107,7 +107,8 @@ def update_graph(nodes: DataFrame, edges: DataFrame, changes: DataFrame, version
     the same change set included. Changes to unknown or deleted nodes, and additions of nodes that are there, are left out.
 
     ``links``: (relative_uri, rel, target) of nodes of this change set; both ends are the newest nodes of their relative URIs, and an unknown
-    target of a call becomes a node ``API`` that isn't declared. Other columns of ``nodes`` than the known ones are null for new nodes.
+    target of a call becomes a node ``API`` that isn't declared. Other columns of ``nodes`` than the known ones come for new nodes from
+    ``properties`` (relative_uri, columns...), null where it has none.
     """
     extra = [c for c in nodes.columns if c not in NODE_COLUMNS]
     tail = materialize(newest_at(nodes, version).select("chain_root", "uri", "relative_uri", "label", "chain_pos"), "tail")
@@ -144,4 +145,8 @@ def update_graph(nodes: DataFrame, edges: DataFrame, changes: DataFrame, version
         apis = unknown.select(api_uri.alias("uri"), F.col("target").alias("relative_uri"), F.lit(version).alias("version"), F.lit(API).alias("label"), F.lit(commit).alias("commit_id"), F.lit(True).alias("not_declared"), F.lit(None).cast("int").alias("deleted_ver"), api_uri.alias("chain_root"), F.lit(1).alias("chain_pos"), *none)
         out = out.unionByName(apis)
         every = upsert_edges(every, both.where(F.col("dst").isNotNull() | (F.col("rel") == CALL)).select("src", "rel", F.coalesce("dst", api_uri).alias("dst")))
+    if properties is not None and extra:
+        given = [c for c in extra if c in properties.columns]
+        of = properties.select("relative_uri", F.lit(version).alias("version"), *[F.col(c).alias(f"_{c}") for c in given])
+        out = out.join(of, ["relative_uri", "version"], "left").select(*NODE_COLUMNS, *[F.coalesce(f"_{c}", c).alias(c) if c in given else F.col(c) for c in extra])
     return out, every
