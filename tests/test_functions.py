@@ -54,3 +54,23 @@ def test_current_rows(spark):
     df = spark.createDataFrame([(1, 1, 5, "a"), (1, 2, 5, "b"), (1, 3, None, "c"), (2, 1, None, None), (None, 9, 9, "x"), (1, 2, 5, "b")], "k int, row_id int, t int, rn string")
     assert sorted(tuple(r) for r in current_rows(df, ["k"], ["t", "row_id"]).select("k", "t", "row_id", "rn").collect()) == [(1, 5, 2, "b"), (2, None, 1, None)]
     assert current_rows(df.limit(0), ["k"], ["t"]).count() == 0
+
+
+def test_config(tmp_path):
+    import pytest
+
+    from tracewell.config import Config
+
+    (tmp_path / "c").write_text("# where\nsource_dir = /a=b\n\nskip_dirs=test, doc*s\n")
+    assert Config.read(str(tmp_path / "c")) == Config(source_dir="/a=b", skip_dirs=("test", "doc*s"))
+    (tmp_path / "c").write_text("other=1")
+    with pytest.raises(ValueError):
+        Config.read(str(tmp_path / "c"))
+
+
+def test_generics_of_any_depth(spark):
+    from tracewell.functions.uris import strip_generics
+
+    deep = "f(A<B<C<D<E<F<G>>>>>>,H)"
+    rows = spark.createDataFrame([(deep,), ("a < b",), ("f()",), (None,)], "s string").select(strip_generics(F.col("s")).alias("s")).collect()
+    assert [r.s for r in rows] == ["f(A,H)", "a < b", "f()", None]

@@ -48,3 +48,25 @@ def rooted(path: Column, prefix: str = "", drop: str = "") -> Column:
     """A project's path as a dotted name: the segment matching the pattern ``drop`` goes, ``prefix`` comes before."""
     kept = F.regexp_replace(path, rf"(^|/){drop}(?=/)", "") if drop else path
     return F.concat(F.lit(prefix), F.translate(F.regexp_replace(kept, "^/", ""), "/", "."))
+
+
+def without_prefix(name: Column, prefix: str) -> Column:
+    """A full name without the namespace ``prefix``; another name as it is."""
+    return F.when(F.startswith(name, F.lit(prefix)), F.substring(name, F.lit(len(prefix) + 1), F.length(name))).otherwise(name)
+
+
+def with_prefix(name: Column, prefix: str) -> Column:
+    """The full name of a short one."""
+    return F.concat(F.lit(prefix), name)
+
+
+def project_name(project_id: Column) -> Column:
+    """The part of a project's id before the first ``/``."""
+    return F.split_part(project_id, F.lit("/"), F.lit(1))
+
+
+def position(raw: Column, of_class: Column, project_path: str = "", project_id: str = "") -> Column:
+    """A source position without its parentheses, of a class without the line, the project's path replaced by its id."""
+    bare = F.regexp_replace(raw, r"^\(|\)$", "")
+    cut = F.when(of_class, F.split_part(bare, F.lit(":"), F.lit(1))).otherwise(bare)
+    return F.replace(cut, F.lit(project_path), F.lit(project_id)) if project_path else cut

@@ -169,3 +169,16 @@ def hard_negatives(pool: DataFrame, texts: DataFrame, k: int, seed: int = 0) ->
     sampled = sample_by_hash(pool.select("a", "b"), "a", "b", 2 * k, seed)
     scored = pair_cosine(sampled, texts).withColumn("score", F.round("score", 9))
     return top_scores(scored.select(F.col("a").alias("query"), F.col("b").alias("node"), "score"), k).select(F.col("query").alias("a"), F.col("node").alias("b"), "score")
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 0, place: str = "place") -> DataFrame:
+    """``rows`` with their ``place`` (from 0) in a random order that depends on the seed and the unique ``key`` only; no task sorts them all."""
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("_one", F.lit(1))
+    return range_sums(hashed, [], [F.col("_h"), F.col(key)], {place: "_one"}).drop("_h", "_one")
+
+
+def greatest_vectors(rows: DataFrame, group: str, vector: str) -> DataFrame:
+    """(group, vector): the element-wise maximum of each group's vectors (max-pooling); null and NaN elements don't count, an element without
+    any other is null. Elements are folded map-side, so no group is collected."""
+    each = rows.select(group, F.posexplode(vector).alias("_i", "_x")).groupBy(group, "_i").agg(F.max(F.when(~F.isnan("_x"), F.col("_x"))).alias("_x"))
+    return each.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias(vector))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_time, report_tokens, terms
-from ..functions.uris import method_list, rooted, strip_generics
+from ..functions.uris import method_list, position, project_name, rooted, strip_generics, with_prefix, without_prefix
 from ..operators import features as E
 from ..operators import graph as G
 from ..operators import ranking as R
@@ -47,8 +47,28 @@ def short_signature(s: SparkSession, d: str) -> DataFrame:
 
 
 def positions(s: SparkSession, d: str) -> DataFrame:
-    p = F.translate("node_position", "()", "")
-    return table(s, d, "method_versions").select("uri", F.regexp_replace(p, r":\d+$", "").alias("path"), F.try_element_at(F.split(p, ":"), F.lit(2)).try_cast("int").alias("line")).fillna(-1, ["line"]).distinct()
+    """Path and line of method positions, and the positions as those of a class, the project's root replaced by its id."""
+    p = position(F.col("node_position"), F.lit(False))
+    whole = position(F.col("node_position"), F.lit(True), "zor/", "7/graph-store/")
+    line = F.try_element_at(F.split(p, ":"), F.lit(2)).try_cast("int")
+    return table(s, d, "method_versions").select("uri", F.regexp_replace(p, r":\d+$", "").alias("path"), line.alias("line"), whole.alias("of_class"), project_name(whole).alias("project")).fillna(-1, ["line"]).distinct()
+
+
+def short_names(s: SparkSession, d: str) -> DataFrame:
+    """URIs without a namespace, and with it again."""
+    m = table(s, d, "method_map").select("method_uri").distinct()
+    short = without_prefix(F.col("method_uri"), "zor.u")
+    return m.select("method_uri", short.alias("short"), with_prefix(short, "zor.u").alias("again"))
+
+
+def shuffled(s: SparkSession, d: str) -> DataFrame:
+    return R.shuffled(table(s, d, "part").select("p_partkey"), "p_partkey", 3)
+
+
+def greatest_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Element-wise maximum of the vectors of each label."""
+    out = R.greatest_vectors(table(s, d, "embeddings").select("label", "embedding"), "label", "embedding")
+    return out.select("label", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), " ").alias("millionths"))
 
 
 def camel_words(s: SparkSession, d: str) -> DataFrame:
@@ -391,7 +411,12 @@ SQL = {
     "declared_nodes": "SELECT DISTINCT method_id, uri, op FROM method_versions WHERE not_declared IS DISTINCT FROM 'true' AND label = 'Method' AND contains(uri, '-get') AND starts_with(uri, 'zor.u')",
     "short_signature": r"""SELECT id, regexp_extract(u, '([^./-]+)-', 1) AS class, regexp_extract(u, '-([^(]+)\(', 1) AS name, CASE WHEN regexp_extract(u, '\((.*)\)', 1) = '' THEN 0 ELSE len(string_split(regexp_extract(u, '\((.*)\)', 1), ',')) END AS n_params
  FROM (SELECT id, regexp_replace(method_uri, '\s+', '', 'g') AS u FROM method_map) q""",
-    "positions": r"SELECT DISTINCT uri, regexp_replace(p, ':\d+$', '') AS path, coalesce(try_cast(string_split(p, ':')[2] AS INTEGER), -1) AS line FROM (SELECT uri, translate(node_position, '()', '') AS p FROM method_versions) q",
+    "positions": r"""SELECT DISTINCT uri, regexp_replace(p, ':\d+$', '') AS path, coalesce(try_cast(string_split(p, ':')[2] AS INTEGER), -1) AS line, replace(split_part(p, ':', 1), 'zor/', '7/graph-store/') AS of_class,
+  split_part(replace(split_part(p, ':', 1), 'zor/', '7/graph-store/'), '/', 1) AS project FROM (SELECT uri, translate(node_position, '()', '') AS p FROM method_versions) q""",
+    "short_names": "SELECT DISTINCT method_uri, CASE WHEN starts_with(method_uri, 'zor.u') THEN substr(method_uri, 6) ELSE method_uri END AS short, concat('zor.u', CASE WHEN starts_with(method_uri, 'zor.u') THEN substr(method_uri, 6) ELSE method_uri END) AS again FROM method_map",
+    "shuffled": "SELECT p_partkey, row_number() OVER (ORDER BY md5(concat_ws('|', '3', p_partkey)), p_partkey) - 1 AS place FROM part",
+    "greatest_vectors": """SELECT label, string_agg(CAST(CAST(round(m * 1e6) AS BIGINT) AS VARCHAR), ' ' ORDER BY i) AS millionths FROM
+ (SELECT label, i, CAST(max(x) FILTER (WHERE NOT isnan(x)) AS DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) q GROUP BY label, i) q GROUP BY label""",
     "camel_words": r"SELECT DISTINCT id, lower(regexp_replace(regexp_extract(method_uri, '-([^(]+)\(', 1), '([a-z0-9])([A-Z])', '\1 \2', 'g')) AS words FROM method_map",
     "version_axis": _V + " SELECT version, commit_id, lag(commit_id) OVER (ORDER BY version) AS previous FROM ver",
     "commit_lookup": _V
