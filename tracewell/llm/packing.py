@@ -18,7 +18,7 @@ CAPACITY = 2048
 SHARD_ITEMS = 2000
 _K1, _B = 1.2, 0.75
 #: Places of a content vector, items that the topics are fitted on, most topics, and most parts of all topics together.
-DIMENSIONS, SAMPLE_ITEMS, TOPICS, PARTS = 256, 20_000, 64, 1 << 20
+DIMENSIONS, SAMPLE_ITEMS, TOPICS, PARTS = 256, 5_000, 64, 1 << 20
 #: Items smaller than this share of the free space wait for closing gaps.
 _SMALL = 16
 
@@ -30,15 +30,27 @@ def _weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray,
 
 
 def vectors(terms: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    """Content vectors of unit length (BM25 weights, terms hashed to DIMENSIONS places with a sign), and each item's weightiest term."""
+    """Content vectors of unit length (BM25 weights, terms hashed to DIMENSIONS places with a sign), and each item's weightiest term (0 without terms)."""
     out, top = np.zeros((len(terms), DIMENSIONS), dtype=np.float32), np.zeros(len(terms), dtype=np.int64)
-    for i, ids in enumerate(terms):
-        if len(ids):
-            t, w = _weights(ids, idf, mean)
-            h = (t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            sign = np.where((h >> np.uint64(12)) & np.uint64(1), 1.0, -1.0)
-            out[i] = np.bincount((h % np.uint64(DIMENSIONS)).astype(np.int64), w * sign, DIMENSIONS)
-            top[i] = t[np.argmax(w)]
+    h = (np.arange(len(idf), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    sign = np.where((h >> np.uint64(12)) & np.uint64(1), 1.0, -1.0)
+    at = (h % np.uint64(DIMENSIONS)).astype(np.int64)
+    for low in range(0, len(terms), 500):
+        part = terms[low : low + 500]
+        size = np.array([len(x) for x in part])
+        if not size.sum():
+            continue
+        code = np.sort(np.repeat(np.arange(len(part)), size) * len(idf) + np.concatenate(part))
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        n = np.diff(np.append(first, len(code)))
+        item, t = code[first] // len(idf), code[first] % len(idf)
+        w = idf[t] * n * (_K1 + 1) / (n + _K1 * (1 - _B + _B * size[item] / max(mean, 1e-9)))
+        out[low : low + len(part)] = np.bincount(item * DIMENSIONS + at[t], w * sign[t], len(part) * DIMENSIONS).reshape(-1, DIMENSIONS)
+        own = np.flatnonzero(np.diff(item, prepend=-1))  # where an item's terms begin
+        best = np.maximum.reduceat(w, own)
+        places = np.flatnonzero(w == np.repeat(best, np.diff(np.append(own, len(w)))))
+        whose, place = np.unique(item[places], return_index=True)
+        top[low + whose] = t[places[place]]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9), top
 
 
