@@ -23,10 +23,16 @@ DIMENSIONS, SAMPLE_ITEMS, TOPICS, PARTS = 256, 5_000, 64, 1 << 20
 _SMALL = 16
 
 
-def _weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct terms of an item with their BM25 weights."""
-    t, n = np.unique(ids, return_counts=True)
-    return t, idf[t] * n * (_K1 + 1) / (n + _K1 * (1 - _B + _B * len(ids) / max(mean, 1e-9)))
+def _weights(terms: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, term, BM25 weight) of the distinct terms of all items, in order of items, then terms."""
+    size = np.array([len(x) for x in terms], dtype=np.int64)
+    if not size.sum():
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    code = np.sort(np.repeat(np.arange(len(terms)), size) * len(idf) + np.concatenate(terms))
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    n = np.diff(np.append(first, len(code)))
+    item, t = code[first] // len(idf), code[first] % len(idf)
+    return item, t, idf[t] * n * (_K1 + 1) / (n + _K1 * (1 - _B + _B * size[item] / max(mean, 1e-9)))
 
 
 def vectors(terms: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
@@ -37,14 +43,9 @@ def vectors(terms: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.n
     at = (h % np.uint64(DIMENSIONS)).astype(np.int64)
     for low in range(0, len(terms), 500):
         part = terms[low : low + 500]
-        size = np.array([len(x) for x in part])
-        if not size.sum():
+        item, t, w = _weights(part, idf, mean)
+        if not len(item):
             continue
-        code = np.sort(np.repeat(np.arange(len(part)), size) * len(idf) + np.concatenate(part))
-        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        n = np.diff(np.append(first, len(code)))
-        item, t = code[first] // len(idf), code[first] % len(idf)
-        w = idf[t] * n * (_K1 + 1) / (n + _K1 * (1 - _B + _B * size[item] / max(mean, 1e-9)))
         out[low : low + len(part)] = np.bincount(item * DIMENSIONS + at[t], w * sign[t], len(part) * DIMENSIONS).reshape(-1, DIMENSIONS)
         own = np.flatnonzero(np.diff(item, prepend=-1))  # where an item's terms begin
         best = np.maximum.reduceat(w, own)
@@ -74,17 +75,11 @@ class _Index:
     """BM25 inverted index of the items of one shard."""
 
     def __init__(self, terms: list[np.ndarray], idf: np.ndarray, mean: float):
-        docs, flat, weights = [], [], []
-        for i, ids in enumerate(terms):
-            t, w = _weights(ids, idf, mean)
-            docs.append(np.full(len(t), i))
-            flat.append(t)
-            weights.append(w)
-        self.query = flat
-        term = np.concatenate(flat)
-        order = np.argsort(term, kind="stable")
-        self.n, self.doc, self.weight = len(terms), np.concatenate(docs)[order], np.concatenate(weights)[order]
-        self.start = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        item, t, weight = _weights(terms, idf, mean)
+        self.query = np.split(t, np.searchsorted(item, np.arange(1, len(terms))))
+        order = np.argsort(t, kind="stable")
+        self.n, self.doc, self.weight = len(terms), item[order], weight[order]
+        self.start = np.searchsorted(t[order], np.arange(len(idf) + 1))
 
     def scores(self, item: int) -> np.ndarray:
         t = self.query[item]
@@ -114,14 +109,19 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, mean: floa
         if free >= least:
             near = np.flatnonzero(unused & (sizes <= free))
             near = near[np.argsort(-index.scores(seed)[near], kind="stable")]
-            for i in near:
-                size = int(sizes[i])
-                if free // _SMALL <= size <= free:
-                    unused[i] = False
-                    members.append(int(i))
-                    free -= size
-                    if free < least:
-                        break
+            s, at = sizes[near], 0
+            while at < len(near):
+                ok = (s[at:] <= free) & (s[at:] >= free // _SMALL)
+                step = int(ok.argmax())
+                if not ok[step]:
+                    break
+                at += step + 1
+                i = near[at - 1]
+                unused[i] = False
+                members.append(int(i))
+                free -= int(sizes[i])
+                if free < least:
+                    break
             while free >= least:
                 fits = near[unused[near] & (sizes[near] <= free)]
                 if not len(fits):
