@@ -1,10 +1,13 @@
 import json
+import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import diffs as D
 from tracewell.operators import java as J
 from tracewell.operators import model as M
+from tracewell.operators import ranking as R
 from tracewell.sources import files, sinks
 from tracewell.streaming.hooks import watch
 
@@ -198,3 +201,16 @@ def test_model(spark):
         assert scored.where("(buggy_rate > 0.5) = (label = 1)").count() > 190
     v = M.word_vectors(spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, [])], "id int, terms array<string>"), 8).collect()
     assert len(v) == 3 and all(len(r.vector) == 8 for r in v)
+
+
+def test_a_scorer_is_fitted_on_all_rows(spark):
+    rows = spark.range(1_200_000).selectExpr("0D as bfr", "0D as bff", "0D as cfs", "double(id % 4 = 0) as label")
+    assert abs(M.fit_scorer(rows).stages[-1].intercept + math.log(3)) < 1e-9  # the rate of label 1 among all of them
+
+
+def test_weighted_rows_count_like_copies(spark):
+    rows = spark.range(2000).selectExpr("id % 7 / 7 as bfr", "id % 3 * 1D as bff", "id % 11 / 3 as cfs", "double(pmod(xxhash64(id), 40) < id % 7) as label")
+    copied = M.fit_scorer(R.oversample(rows, F.col("label") == 1, 300), iterations=100).stages[-1]
+    weighed = M.fit_scorer(rows.withColumn("w", F.when(F.col("label") == 1, 301).otherwise(1)), iterations=100, weight="w").stages[-1]
+    assert weighed.coefficients.toArray() == pytest.approx(copied.coefficients.toArray(), abs=1e-4) and weighed.intercept == pytest.approx(copied.intercept, abs=1e-4)
+    assert M.fit_scorer(rows.withColumn("w", F.lit(2)), hidden=3, iterations=5, weight="w").transform(rows).count() == 2000
