@@ -7,8 +7,9 @@ from itertools import combinations
 
 import pytest
 
+from tracewell.operators import features
 from tracewell.operators import ranking as R
-from tracewell.plans import reference, text_code
+from tracewell.plans import prepare, reference, text_code
 from tracewell.plans import virtual as V
 from tracewell.session import table
 from tracewell.streaming.hooks import opened_bugs, watch
@@ -102,3 +103,15 @@ def test_vocabulary_has_5000_terms(spark, tmp_path):
     spark.createDataFrame([(1, words), (2, "w5100 w5100")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {(r.doc_id, r.idx): r.n for r in reference.vocabulary_ids(spark, str(tmp_path)).collect()}
     assert rows == {**{(1, i): 1 for i in range(5000)}, (1, 5000): 200, (2, 0): 1}
+
+
+@needs_tables
+def test_candidates_made_in_tasks_are_those_of_the_joins(spark, monkeypatch):
+    """Every method of every test report, without a shuffled row per candidate."""
+    local = prepare.prepare(spark, D, "bug_id % 5 = 0")
+    test = local.where("not train")
+    assert "Expand" not in (plan := test._jdf.queryExecution().optimizedPlan().toString()) and "explode" not in plan
+    rows = [(*r[:5], *(round(x, 9) for x in r[5:7]), *r[7:]) for r in local.collect()]
+    monkeypatch.setattr(features, "LOCAL_FIXES", -1)
+    joined = [(*r[:5], *(round(x, 9) for x in r[5:7]), *r[7:]) for r in prepare.prepare(spark, D, "bug_id % 5 = 0").collect()]
+    assert sorted(rows) == sorted(joined) and any(not r[3] and r[6] > 0 for r in rows)
