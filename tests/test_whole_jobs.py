@@ -6,6 +6,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.operators import features
 from tracewell.operators import ranking as R
@@ -109,9 +110,23 @@ def test_vocabulary_has_5000_terms(spark, tmp_path):
 def test_candidates_made_in_tasks_are_those_of_the_joins(spark, monkeypatch):
     """Every method of every test report, without a shuffled row per candidate."""
     local = prepare.prepare(spark, D, "bug_id % 5 = 0")
-    test = local.where("not train")
-    assert "Expand" not in (plan := test._jdf.queryExecution().optimizedPlan().toString()) and "explode" not in plan
+    plan = prepare._prepared(spark, D, "bug_id % 5 = 0")[1]()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("MapInArrow")
     rows = [(*r[:5], *(round(x, 9) for x in r[5:7]), *r[7:]) for r in local.collect()]
     monkeypatch.setattr(features, "LOCAL_FIXES", -1)
     joined = [(*r[:5], *(round(x, 9) for x in r[5:7]), *r[7:]) for r in prepare.prepare(spark, D, "bug_id % 5 = 0").collect()]
     assert sorted(rows) == sorted(joined) and any(not r[3] and r[6] > 0 for r in rows)
+
+
+@needs_tables
+def test_places_without_rows_give_the_same_metrics(spark):
+    """Test candidates are scaled, scored and ranked in the tasks that make them."""
+    from tracewell.operators import model as M
+
+    rows = prepare.prepare(spark, D).withColumn("label", F.col("label").cast("double")).localCheckpoint()
+    train, test = (R.min_max(rows.where(c), prepare.SCORES) for c in ("train", "not train"))
+    model = M.fit_scorer(train.withColumn("copies", F.when(F.col("label") == 1, 301).otherwise(1)), prepare.SCORES, weight="copies")
+    want = R.metrics(M.score(model, test), "bug_id", "buggy_rate", "label", "method_id").first()
+    df = prepare.learned_localisation(spark, D)
+    assert "Sort" not in df._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[-1]
+    assert df.first() == pytest.approx(want, nan_ok=True) and want.n_groups
